@@ -64,3 +64,8 @@ def n_words(text: Column) -> Column:
 def hash_bucket(key: Column, rows: int, per: int = 512) -> Column:
     """A bucket number of a row, so that a bucket has about `per` of `rows` rows."""
     return F.pmod(F.xxhash64(key), F.lit(max(1, rows // per)))
+
+
+def checked_broadcast(df: DataFrame, rows: int, most: int = 10_000) -> DataFrame:
+    """df, marked for broadcast if its known number of narrow rows is small."""
+    return F.broadcast(df) if rows <= most else df

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, hash_bucket, materialise, n_words, running_totals
+from .common import WORD, checked_broadcast, hash_bucket, materialise, n_words, running_totals
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
@@ -93,7 +93,7 @@ def _slots(seed: int):
                     k = np.arange(j, min(j + 65536, row["count"]), dtype=np.int64)
                     at = row["first"] + k
                     blocks = np.full(len(k), row["blocks"])
-                    turn = np.uint64(row["source_no"] * 1_000_003 + seed) * np.uint64(0xD1342543DE82EF95) + (at // row["blocks"]).astype(np.uint64)
+                    turn = np.uint64((row["source_no"] * 1_000_003 + seed) * 0xD1342543DE82EF95 % 2**64) + (at // row["blocks"]).astype(np.uint64)
                     slot = permute(row["slot0"] + k, np.full(len(k), row["slots"]), np.full(len(k), row["shard"] + seed))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), row["shard"])), pa.array(slot), pa.array(np.full(len(k), row["source_no"])), pa.array(permute(at % row["blocks"], blocks, turn))], ["shard", "slot", "source_no", "block"])
 
@@ -120,6 +120,7 @@ class Mix:
         words = self.uses().groupBy("uid").agg(F.sum(F.col("length") * F.col("times")).alias("taken"))
         spark = self.sizes.sparkSession
         names = spark.createDataFrame([(k, size, float(target)) for k, (_, size, target) in enumerate(self.sources)], "source_no long, source_size long, target double")
+        names = checked_broadcast(names, len(self.sources))
         out = self.sizes.join(words, "uid", "left").join(names, "source_no")
         return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
@@ -134,7 +135,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     found = {r["source"]: (r["size"], r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
     goal = targets({s: size for s, (size, _) in found.items()}, weights, share, most)
     order = sorted(found, key=lambda s: (s is None, s or ""))
-    numbers = spark.createDataFrame([(s, k) for k, s in enumerate(order)], "name string, source_no long")
+    numbers = checked_broadcast(spark.createDataFrame([(s, k) for k, s in enumerate(order)], "name string, source_no long"), len(order))
     sizes = rows.join(numbers, rows["source"].eqNullSafe(numbers["name"])).select("uid", "doc_id", "source_no", "size")
 
     total = sum(n for _, n in found.values())
