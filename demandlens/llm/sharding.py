@@ -46,13 +46,26 @@ def smallest_capacity(sizes: list[int], shards: int) -> int:
 
 
 def assign(sizes: list[int], shards: int) -> list[int]:
-    """Shard of each unit."""
-    at = cuts(sizes, smallest_capacity(sizes, shards))
-    out, shard = [], 0
-    for k in range(len(sizes)):
-        if shard < len(at) and k == at[shard]:
-            shard += 1
-        out.append(shard)
+    """Shard of each unit.
+
+    No shard exceeds the smallest capacity; within it, each cut is put as near
+    to an equal share of what is left as the shards after it allow.
+    """
+    capacity, ends = smallest_capacity(sizes, shards), list(accumulate(sizes))
+    out: list[int] = []
+    begin = 0
+    for left in range(shards, 0, -1):
+        done = ends[begin - 1] if begin else 0
+        most = bisect_right(ends, done + capacity)
+        near = bisect_right(ends, done + (sum(sizes) - done) // left)
+        if near < most and abs(ends[near] - done - (ends[-1] - done) / left) < abs((ends[near - 1] if near else 0) - done - (ends[-1] - done) / left):
+            near += 1
+        near = min(max(near, begin), most)
+        while left > 1 and near < most and len(cuts(sizes[near:], capacity)) >= left - 1:
+            near += 1
+        end = near if left > 1 else len(sizes)
+        out += [shards - left] * (end - begin)
+        begin = end
     return out
 
 
