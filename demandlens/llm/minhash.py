@@ -38,10 +38,11 @@ PERMS = BANDS * ROWS
 LANES = PERMS // 32
 HUBS = 6
 _rng = np.random.default_rng(20240229)
-_A = (_rng.integers(1, 2**32, PERMS, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
-_B = _rng.integers(0, 2**32, PERMS, dtype=np.uint64).astype(np.uint32)[:, None]
+_A = (_rng.integers(1, 2**32, PERMS, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[None, :]
+_B = _rng.integers(0, 2**32, PERMS, dtype=np.uint64).astype(np.uint32)[None, :]
 _MIX = _rng.integers(1, 2**63, ROWS, dtype=np.uint64) | np.uint64(1)
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_WIDTH = np.arange(64, dtype=np.uint64) * _C1
 _SHIFTS = (2 * np.arange(32)).astype(np.uint64)
 
 
@@ -59,8 +60,9 @@ def shingle_set(text: str | None, shingle: int = 2) -> np.ndarray:
     width = min(shingle, len(words))
     out = np.zeros(len(h) - width + 1, np.uint64)
     for k in range(width):
-        out = _scramble(out * _C2 + h[k : len(h) - width + 1 + k] + _C1 * np.uint64(width))
-    return np.unique(out)
+        out = _scramble(out * _C2 + h[k : len(h) - width + 1 + k] + _WIDTH[width])
+    out.sort()
+    return out[np.append(True, out[1:] != out[:-1])]
 
 
 def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +70,9 @@ def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x = (hashes >> np.uint64(32)).astype(np.uint32)
     least = np.full(PERMS, np.uint32(0xFFFFFFFF))
     for k in range(0, len(x), 512):
-        np.minimum(least, (_A * x[None, k : k + 512] + _B).min(1), out=least)
+        part = x[k : k + 512, None] * _A
+        part += _B
+        np.minimum(least, part.min(0), out=least)
     wide = least.astype(np.uint64)
     keys = _scramble((wide.reshape(BANDS, ROWS) * _MIX).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _C1)
     bits = ((wide.reshape(LANES, 32) & np.uint64(3)) << _SHIFTS).sum(1, dtype=np.uint64)
@@ -125,25 +129,24 @@ def components(edges: DataFrame) -> DataFrame:
     min, so a hub of any degree costs one row a task.
     """
     ends = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = materialise(edges.select("a", "b").filter("a <> b").distinct(), "edges")
-    roots = None
+    edges = edges.select("a", "b").filter("a <> b").distinct()
+    turns: list[DataFrame] = []
     while True:
         up = ends(edges).groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p"))
-        up = materialise(up, "parents")
-        if roots is not None and up.isEmpty():
-            return roots
         for _ in range(2):
             above = up.select(F.col("a").alias("p"), F.col("p").alias("q"))
-            up = up.join(above, "p", "left").select("a", F.coalesce("q", "p").alias("p"))
+            up = up.join(above, "p").select("a", F.col("q").alias("p"))
         up = materialise(up, "parents")
-        if roots is None:
-            roots = up.select(F.col("a").alias("id"), F.col("p").alias("root"))
-        else:
-            roots = roots.join(up, F.col("root") == F.col("a"), "left").select("id", F.coalesce("p", "root").alias("root"))
-        roots = materialise(roots, "roots")
+        turns.append(up)
         one = edges.join(up, "a").select(F.col("p").alias("x"), "b")
         edges = one.join(up.withColumnRenamed("a", "b"), "b").select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b"))
         edges = materialise(edges.filter("a <> b").distinct(), "edges")
+        if edges.isEmpty():
+            break
+    roots = turns[0].select(F.col("a").alias("id"), F.col("p").alias("root"))
+    for up in turns[1:]:
+        roots = roots.join(up, F.col("root") == F.col("a"), "left").select("id", F.coalesce("p", "root").alias("root"))
+    return materialise(roots, "roots") if len(turns) > 1 else roots
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
