@@ -234,7 +234,8 @@ class _Reader(DataSourceReader):
         sizes = {i.path: i.size for i in store.get_file_info(fs.FileSelector(path)) if i.path.endswith((".warc", ".warc.gz"))}
         if store.get_file_info(f"{path}/{MANIFEST}").type != fs.FileType.NotFound:
             with store.open_input_stream(f"{path}/{MANIFEST}") as f:
-                sizes = {k: v for k, v in sizes.items() if k.rpartition("/")[2] in set(json.loads(f.read()))}
+                listed = set(json.loads(f.read()))
+            sizes = {k: v for k, v in sizes.items() if k.rpartition("/")[2] in listed}
         parts: list[list[str]] = []
         room = 0
         for k in sorted(sizes):
