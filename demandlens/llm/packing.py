@@ -29,6 +29,24 @@ CACHE = 1_000_000
 WHOLE = 1
 
 
+# Fixed value: the pattern that cuts texts into pre-tokens in this vocabulary.
+PRETOKEN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _ranked(tokenizer):
+    """The tokenizer's vocabulary as merge ranks of byte strings, as an encode function; None where tiktoken is absent."""
+    try:
+        import tiktoken
+    except ImportError:
+        return None
+    # The byte alphabet shows printable Latin-1 characters as themselves and the rest, in order, from 256 on.
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    letters = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+    special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    ranks = {bytes(letters[c] for c in token): k for token, k in tokenizer.get_vocab(True).items() if token not in special}
+    return tiktoken.Encoding("ranked", pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 @functools.lru_cache(2)
 def _encoder(path: str):
     """encode(texts) -> ids as little-endian uint32 bytes, with a cache of chunks.
@@ -36,7 +54,9 @@ def _encoder(path: str):
     A pre-token of this byte-level vocabulary never spans the start of a run of
     blanks or line feeds that follows another kind of character, so chunks that
     begin there can be encoded apart.  A chunk that ends in any other white
-    space sends its text the plain way.
+    space sends its text the plain way.  New chunks go through the same merges
+    in tiktoken, several times faster a word, if it agrees with the tokenizer
+    on a set of probes; else through the tokenizer.
     """
     import os
     import re
@@ -53,6 +73,17 @@ def _encoder(path: str):
     def plain(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    probes = [*"aé中🙂", "The quick brown fox's 123 jumps!\n\n  over\t<|endoftext|>", " naïve  déjà-vu  ÜBER ", "x" * 300, "\x00\x1c\u2028~"]
+    fast = _ranked(tokenizer)
+
+    def merged(parts: list[str]) -> list[bytes]:
+        return [np.array(fast(p), "<u4").tobytes() for p in parts]
+
+    try:
+        new_ids = merged if fast and merged(probes) == plain(probes) else plain
+    except (KeyError, ValueError):
+        new_ids = plain
+
     def encode(texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
@@ -63,7 +94,7 @@ def _encoder(path: str):
                 if len(known) > CACHE:
                     known.clear(), odd.clear()
                 new = [p for p in dict.fromkeys(parts) if p not in known]
-                known.update(zip(new, plain(new), strict=True))
+                known.update(zip(new, new_ids(new), strict=True))
                 odd.update(p for p in new if p[-1] not in " \n" and p[-1].isspace())
                 ids = b"".join(map(known.__getitem__, parts))
             if odd and not odd.isdisjoint(parts):
