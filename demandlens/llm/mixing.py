@@ -62,7 +62,7 @@ def draw(quotas: np.ndarray, shard_slots: int, seed: int) -> np.ndarray:
             got += np.minimum(rng.multinomial(short, room / room.sum()), room)
         out.append(got)
         left -= got
-    return np.array(out, np.int64).reshape(-1, len(quotas))
+    return np.array(out, np.int64).reshape(len(out), len(quotas))
 
 
 def permute(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
