@@ -45,7 +45,7 @@ def download_lookup(folder: str | Path, overwrite: bool = False) -> Path:
 
 
 def load_trips(spark: SparkSession, *paths: str, columns: list[str] | None = None) -> DataFrame:
-    """Trip records with the wanted columns that exist (all columns if none does), under their stored names.
+    """Trip records with the wanted columns that exist (all columns if none does), under their stored names; columns may have those already.
 
     A path that is missing raises FileNotFoundError.
     """
@@ -55,7 +55,7 @@ def load_trips(spark: SparkSession, *paths: str, columns: list[str] | None = Non
         if "PATH_NOT_FOUND" in str(e):
             raise FileNotFoundError(", ".join(paths)) from None
         raise
-    have = [c for c in (columns or RAW_COLUMNS) if c in raw.columns] or raw.columns
+    have = [c for c in columns or dict.fromkeys([*RAW_COLUMNS, *RAW_COLUMNS.values()]) if c in raw.columns] or raw.columns
     return raw.select(*(F.col(c).alias(RAW_COLUMNS.get(c, c)) for c in have))
 
 
