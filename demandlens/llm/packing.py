@@ -13,7 +13,9 @@ window is cut into powers of two, which need no padding.
 from __future__ import annotations
 
 import functools
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -77,10 +79,10 @@ def _encoder(path: str):
     fast = _ranked(tokenizer)
 
     def merged(parts: list[str]) -> list[bytes]:
-        return [np.array(fast(p), "<u4").tobytes() for p in parts]
+        return [array("I", fast(p)).tobytes() for p in parts]
 
     try:
-        new_ids = merged if fast and merged(probes) == plain(probes) else plain
+        new_ids = merged if fast and sys.byteorder == "little" and merged(probes) == plain(probes) else plain
     except (KeyError, ValueError):
         new_ids = plain
 
