@@ -8,16 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandlens.llm import langid, minhash, mixing, packing, quality
-from demandlens.llm.common import scratch
+from demandlens.llm.common import materialise, scratch
 from demandlens.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what passes the base rules and the likelihood ratio against trusted documents."""
+    """Keeps what passes the base rules and the likelihood ratio against trusted documents.
+
+    The verdicts are written before they are filtered: a filter that the
+    optimizer moves below the projections would repeat their expressions
+    inside one another without end.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.quality_rules(docs.select(*COLUMNS), labels).filter("kept").select(*COLUMNS)
+    judged = quality.quality_rules(docs.select(*COLUMNS), labels).select(*COLUMNS, "kept")
+    return materialise(judged, "judged").filter("kept").select(*COLUMNS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
