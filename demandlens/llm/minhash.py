@@ -12,10 +12,12 @@ longs.  Work on the classes:
 2. Each class is compared on full sets with the HUBS hubs that it shares most
    bands with.  Links found make provisional components.  In a group of near
    copies nearly all meet here, at a cost linear in the group.
-3. Within a block, classes outside its main component are compared with those
-   of any other component whose collision-corrected bit-count estimate is at
-   least `screen`; full sets decide.  So no link is lost to step 2's choice of
-   hubs, nothing is capped, and members of one component are never paired.
+3. Within a block, classes outside its main component meet those of any other
+   component with which they share one of their rarest shingles, early enough
+   for a link (`_apart`).  Of these, pairs whose collision-corrected bit-count
+   estimate is at least `screen` are compared on full sets.  So no link is lost
+   to step 2's choice of hubs, nothing is capped, and members of one component
+   are never paired.
 
 A pair of similarity exactly 0.8 shares no band with probability 3e-7, and is
 screened out with less (five deviations).
@@ -157,6 +159,29 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def _apart(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one block but two components, not both in a main one, that may be linked.
+
+    Shingles of a block are ordered, rarest first.  Linked sets share so many
+    that their first common one stands within a prefix of either, with enough
+    places after it.  The members of a group of near copies that lie just
+    apart begin with shingles of their own, so they meet hardly anyone here,
+    and no link is lost.
+    """
+    words = member.join(sets, "id").select("block", "id", "root", "main", F.size("set").cast("long").alias("n"), F.explode("set").alias("t"))
+    often = words.groupBy("block", "t").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(W.partitionBy("block", "id").orderBy("often", "t"))
+    prefix = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
+    words = words.join(often, ["block", "t"]).withColumn("p", rank).filter((F.col("p") <= prefix) & (F.col("often") > 1))
+    words = materialise(words.select("block", "t", "id", "root", "main", "n", "p"), "prefixes")
+    one = words.filter("root <> main").select("block", "t", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("p").alias("pa"))
+    two = words.select("block", "t", F.col("id").alias("b"), F.col("root").alias("rb"), (F.col("root") == F.col("main")).alias("in_main"), F.col("n").alias("nb"), F.col("p").alias("pb"))
+    both = (one["block"] == two["block"]) & (one["t"] == two["t"]) & (F.col("ra") != F.col("rb")) & (F.col("in_main") | (F.col("a") < F.col("b")))
+    room = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    enough = (100 + percent) * room >= percent * (F.col("na") + F.col("nb"))
+    return one.join(two, both & enough).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, screen: float = 0.66) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -186,18 +211,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = materialise(links, "links")
     first = components(links)
 
-    lanes = [f"l{k}" for k in range(LANES)]
-    member = blocks.withColumnRenamed("root", "block").join(first, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    member = member.join(heads, "id").select("id", "block", "root", "n_shingles", *(F.col("bits")[k].alias(c) for k, c in enumerate(lanes)))
+    member = blocks.withColumnRenamed("root", "block").join(first, "id", "left").select("id", "block", F.coalesce("root", "id").alias("root"))
     member = materialise(member, "members")
     sizes = member.groupBy("block", "root").agg(F.count("*").alias("n"))
     main = sizes.groupBy("block").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("block", "main")
-    member = member.join(main, "block")
-    rest = member.filter("root <> main").select(F.col("block"), F.col("id").alias("a"), F.col("root").alias("ra"), F.col("n_shingles").alias("na"), *(F.col(c).alias(f"a{c}") for c in lanes))
-    to = member.select(F.col("block"), F.col("id").alias("b"), F.col("root").alias("rb"), (F.col("root") == F.col("main")).alias("in_main"), F.col("n_shingles").alias("nb"), *(F.col(c).alias(f"b{c}") for c in lanes))
-    apart = (rest.block == to.block) & (F.col("ra") != F.col("rb")) & (F.col("in_main") | (F.col("a") < F.col("b")))
-    close = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (estimate([F.col(f"a{c}") for c in lanes], [F.col(f"b{c}") for c in lanes]) >= screen)
-    late = _confirmed(rest.join(to, apart & close).select("a", "b"), sets, percent)
+    pairs = _apart(member.join(main, "block"), sets, percent)
+    bits = heads.select("id", "bits")
+    pairs = pairs.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("id").alias("b"), F.col("bits").alias("y")), "b")
+    lanes = range(LANES)
+    close = estimate([F.col("x")[k] for k in lanes], [F.col("y")[k] for k in lanes]) >= screen
+    late = materialise(_confirmed(pairs.filter(close), sets, percent), "late")
 
     step = first.select("id", "root")
     joined = late.join(step.withColumnRenamed("id", "a").withColumnRenamed("root", "x"), "a", "left").join(step.withColumnRenamed("id", "b").withColumnRenamed("root", "y"), "b", "left")
