@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, running_totals
 
-#: Most chunks whose ids a worker remembers.
-CACHE = 1_000_000
+#: Most chunks whose ids a worker remembers; idle workers keep theirs, some 300 bytes a chunk.
+CACHE = 1 << 17
 #: Ids of sequences that hold one whole window begin at WHOLE << 40.
 WHOLE = 1
 
