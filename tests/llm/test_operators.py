@@ -196,6 +196,23 @@ def test_wrapper_inference():
     assert "+" in kinds and "?" in kinds
 
 
+def test_wrapper_leaves_out_constant_blocks(spark):
+    page = "<body><div><a>Home</a> <a>News {0}</a></div><div><a>Home</a> | <a>News</a></div><div>We use <b>cookies</b>.</div><div><p>Story {0} says <b>this</b>.</p><p>Part {1}</p></div>{2}<div>All rights reserved</div></body>"
+    rows = [(k, "http://h.example/x", page.format(k, k % 7, "<ul><li>more</li></ul>" * (k % 2))) for k in range(40)] + [(50, "http://i.example", page.format(1, 1, ""))]
+    got = {r["page_id"]: r for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(40):
+        lines = got[k]["text"].split("\n")
+        assert got[k]["matched"] and [x for x in lines if x != "more"] == [f"Home News {k}", f"Story {k} says this.", f"Part {k % 7}"]
+    # A single page has no constants; a page that disproves one keeps its own text there.
+    assert "Home | News" in got[50]["text"] and "All rights reserved" in got[50]["text"]
+    wrapper = html_extract.wrapper_of([r[2] for r in rows[:6]])
+    other = page.format(9, 9, "").replace("All rights reserved", "A last word")
+    assert html_extract.extract(other, wrapper) == ("Home News 9\nStory 9 says this.\nPart 9\nA last word", True)
+    # An article element vouches for its text.
+    alike = "<body><div>menu</div><article><h1>Same head</h1><p>text {}</p></article></body>"
+    assert html_extract.extract(alike.format(9), html_extract.wrapper_of([alike.format(k) for k in range(6)])) == ("Same head\ntext 9", True)
+
+
 def test_sharding(spark):
     df, texts = documents(spark)
     got = sharding.shard_documents(df, shards=4, per=2).toPandas()
