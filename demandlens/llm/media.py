@@ -102,6 +102,11 @@ def _plain(stream: bytes, most: int) -> bytes | None:
     return None
 
 
+#: Widths and places of codes after a full table.
+_TWELVE = np.full(4096, 12)
+_TWELVE_AT = np.cumsum(_TWELVE) - 12
+
+
 def lzw_decode(stream: bytes, min_bits: int, most: int) -> bytes:
     """Up to `most` indices of an LZW stream; a cut or faulty stream gives what it holds.
 
@@ -120,19 +125,22 @@ def lzw_decode(stream: bytes, min_bits: int, most: int) -> bytes:
     begins = np.cumsum(widths) - widths
     out: list[bytes] = []
     done = bit = 0
+    kept: tuple[list[bytes], bytes] | None = None
     literal = [bytes([k]) for k in range(min(256, clear))] + [b""] * (end + 1 - min(256, clear))
     while bit < limit and done < most:
-        at = bit + begins
-        use = int(np.searchsorted(at + widths, limit, "right"))
+        # With a full table, codes go on at twelve bits until the clear that the encoder puts off.
+        sizes, starts = (widths, begins) if kept is None else (_TWELVE, _TWELVE_AT)
+        at = bit + starts
+        use = int(np.searchsorted(at + sizes, limit, "right"))
         if not use:
             break
-        at, w = at[:use], widths[:use]
+        at, w = at[:use], sizes[:use]
         k = at >> 3
         codes = ((raw[k] | raw[k + 1] << 8 | raw[k + 2] << 16) >> (at & 7).astype(np.uint32)) & ((1 << w) - 1).astype(np.uint32)
         stop = np.flatnonzero((codes == clear) | (codes == end))
         last = int(stop[0]) if len(stop) else use
-        table = literal.copy()
-        add, put, before, known = table.append, out.append, b"", end + 1
+        table, before = kept or (literal.copy(), b"")
+        add, put, known = table.append, out.append, len(table)
         for code in codes[:last].tolist():
             if code < known:
                 entry = table[code]
@@ -147,8 +155,11 @@ def lzw_decode(stream: bytes, min_bits: int, most: int) -> bytes:
             done += len(entry)
             known = len(table)
         else:
-            if len(stop) and codes[last] == clear:
-                bit = int(at[last] + w[last])
+            if not len(stop):
+                bit, kept = int(at[-1] + w[-1]), (table, before)
+                continue
+            if codes[last] == clear:
+                bit, kept = int(at[last] + w[last]), None
                 continue
         break
     return b"".join(out)[:most]

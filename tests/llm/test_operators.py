@@ -160,6 +160,49 @@ def test_gif_round_trip(search):
         list(media.decode(b"PNG"))
 
 
+def deferred(data, bits, again=None):
+    """An LZW stream whose table stays full; a clear code comes only after `again` more codes, if at all."""
+    clear, out, at = 1 << bits, 0, 0
+    width, table, w, late = bits + 1, {}, b"", 0
+
+    def emit(code):
+        nonlocal out, at
+        out |= code << at
+        at += width
+
+    def fresh():
+        return {bytes([k]): k for k in range(clear)}
+
+    emit(clear)
+    table, size = fresh(), clear + 2
+    for b in data:
+        if w + bytes([b]) in table:
+            w += bytes([b])
+            continue
+        emit(table[w])
+        if size < 4096:
+            table[w + bytes([b])] = size
+            size += 1
+            width = max(width, (size - 1).bit_length())
+        else:
+            late += 1
+            if late == again:
+                emit(clear)
+                table, size, width, late = fresh(), clear + 2, bits + 1, 0
+        w = bytes([b])
+    emit(table[w])
+    emit(clear + 1)
+    return out.to_bytes(-(-at // 8), "little")
+
+
+@pytest.mark.parametrize("bits", [2, 8])
+@pytest.mark.parametrize("again", [None, 5, 4096, 9000])
+def test_lzw_with_a_late_clear_code(bits, again):
+    data = bytes(random.Random(bits).choices(range(1 << bits), k=60_000 if bits == 8 else 200_000))
+    assert media.lzw_decode(deferred(data, bits, again), bits, len(data)) == data
+    assert media.lzw_decode(deferred(data, bits, again), bits, 50_001) == data[:50_001]
+
+
 def test_gif_disposal_and_transparency():
     import struct
 
