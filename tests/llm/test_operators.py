@@ -133,6 +133,43 @@ def test_quality_against_brute_force(spark):
     assert quality.quality_rules(df.limit(0), labels).collect() == []
 
 
+@pytest.mark.parametrize("n", [40, 400])
+def test_quality_rejects_junk_at_every_size(spark, n):
+    """llr and kept against brute force; a fixed prior let all junk of so few words pass."""
+    import math
+
+    rng = random.Random(n)
+    good = ["".join(rng.choices("abcdef", k=4)) for _ in range(150)]
+    texts = {k: " ".join(rng.choices(good, k=rng.randint(60, 120)) if k % 4 else [w + rng.choice(["###", "$$$", "%%%"]) for w in rng.choices(good, k=80)]) for k in range(n)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = {k: (int(k % 4 > 0), 0) for k in texts if k % 4 < 3}
+    buckets = 1 << 12
+    got = {r["doc_id"]: r for r in quality.quality_rules(df, spark.createDataFrame([(k, *v) for k, v in labels.items()], "doc_id long, quality int, toxic int"), buckets).collect()}
+    h = F.xxhash64("a")
+    paired = {k: list(zip(w, [*w[1:], None], strict=True)) for k, t in texts.items() for w in [t.split(" ")]}
+    pairs = {p for x in paired.values() for p in x}
+    hashed = spark.createDataFrame(list(pairs), "a string, b string").select("a", "b", h.alias("x"), F.xxhash64(h, F.when(F.col("b").isNotNull(), F.xxhash64("b"))).alias("y")).collect()
+    bucket = {(r["a"], r["b"]): (r["x"] % buckets, r["y"] % buckets) for r in hashed}
+    grams = {k: [g for p in x for g in bucket[p]] for k, x in paired.items()}
+    raw, one = Counter(g for x in grams.values() for g in x), [k for k, v in labels.items() if v[0]]
+    trusted = Counter(g for k in one for g in grams[k])
+
+    def score(x, own=()):
+        mine = Counter(own)
+        g = sum(trusted.values()) - len(own)
+        weight = lambda b: round(1e4 * math.log((trusted[b] - mine[b] + g / 16 * (p := (raw[b] + 1) / (sum(raw.values()) + buckets))) / (g + g / 16) / p))
+        return sum(map(weight, x)) / 1e4 / len(x)
+
+    held = sorted(score(grams[k], grams[k]) for k in one)
+    at = (len(held) - 1) * 0.01
+    level = min(-0.09, held[int(at)] + (at - int(at)) * (held[int(at) + 1] - held[int(at)]))
+    for k, x in grams.items():
+        assert got[k]["llr"] == pytest.approx(score(x), abs=1e-5)
+        assert got[k]["kept"] == (not got[k]["base_failed"] and score(x) >= level)
+        if k % 4 == 0 or k in one:
+            assert got[k]["kept"] == (k % 4 > 0)
+
+
 def test_language(spark):
     rows = [(k, ("the thing and then " if k % 2 else "der die und nicht ") * 20, "en" if k % 2 else "de") for k in range(40)]
     train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
