@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, WindowSpec
+import math
+
+from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,13 +33,23 @@ def in_range(x: Column, low: float, high: float) -> Column:
     return F.coalesce(x.between(low, high), F.lit(False))
 
 
-def ewm(value: Column, position: Column, window: WindowSpec, halflife: float) -> Column:
-    """Recursive exponential mean of the rows before each one, as one running sum.
+#: Half-lives in a block of ewm: weights in it stay below 2 ** BLOCK, rows two blocks back weigh less than 2 ** -BLOCK.
+BLOCK = 500
+
+
+def ewm(value: Column, position: Column, by: str, halflife: float, current: bool = False) -> Column:
+    """Recursive exponential mean of the rows before each one (with it, if current), per `by`.
 
-    position counts from 0 within the window's partition.  Sums of
-    0.5 ** (-i / halflife) stay finite for about 900 half-lives.
+    position counts from 0.  The running sum begins anew in each block, and the
+    block before is added whole, so that no weight overflows at any length.
     """
-    q = 0.5 ** (1.0 / halflife)
-    weight = F.when(position == 0, F.lit(1.0)).otherwise((1 - q) * F.pow(F.lit(q), -position))
-    before = window.rowsBetween(W.unboundedPreceding, -1)
-    return F.pow(F.lit(q), position - 1) * F.sum(weight * value).over(before)
+    q = F.lit(0.5 ** (1.0 / halflife))
+    size = math.ceil(BLOCK * halflife)
+    block = F.floor(position / size)
+    place = position - block * size
+    term = F.when(position == 0, F.lit(1.0)).otherwise(1 - q) * F.pow(q, -place) * value
+    here = F.sum(term).over(W.partitionBy(by, block).orderBy(position).rowsBetween(W.unboundedPreceding, 0 if current else -1))
+    before = F.sum(term).over(W.partitionBy(by).orderBy(block).rangeBetween(-1, -1))
+    at = place if current else place - 1
+    level = F.pow(q, at) * F.coalesce(here, F.lit(0.0)) + F.pow(q, at + size) * F.coalesce(before, F.lit(0.0))
+    return level if current else F.when(position > 0, level)

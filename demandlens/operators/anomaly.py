@@ -68,7 +68,7 @@ def ewma_residual_scores(demand: DataFrame, halflife: float = 24, span_std: int
     """
     order = W.partitionBy("zone_id").orderBy("pickup_hour")
     rows = hourly_panel(demand).withColumn("t", F.row_number().over(order) - 1)
-    rows = rows.withColumn("baseline", ewm(F.col("trips"), F.col("t"), order, halflife)).withColumn("residual", F.col("trips") - F.col("baseline"))
+    rows = rows.withColumn("baseline", ewm(F.col("trips"), F.col("t"), "zone_id", halflife)).withColumn("residual", F.col("trips") - F.col("baseline"))
     span = order.rowsBetween(-span_std, -1)
     rows = rows.withColumn("sd", F.when(F.count("residual").over(span) >= least, F.stddev_pop("residual").over(span)))
     z = F.when(F.col("sd") >= min_std, F.round(F.col("residual") / F.col("sd"), 6))

@@ -52,7 +52,7 @@ def moving_average(window: int = 24, min_periods: int = 1) -> Column:
 
 
 def ewm_level(halflife: float = 12) -> Column:
-    return ewm(F.col("trips"), F.col("t"), _order(), halflife)
+    return ewm(F.col("trips"), F.col("t"), "zone_id", halflife)
 
 
 METHODS: dict[str, Callable[[], Column]] = {
@@ -126,9 +126,7 @@ def forecast_next_horizon(demand: DataFrame, method: str = "seasonal_naive_24",
     size = int(size)
     panel = _numbered(hourly_panel(demand))
     if kind == "ewm":
-        order = _order()
-        weight = F.when(F.col("t") == 0, F.lit(1.0)).otherwise((1 - 0.5 ** (1 / size)) * F.pow(F.lit(0.5 ** (1 / size)), -F.col("t")))
-        level = F.pow(F.lit(0.5 ** (1 / size)), F.col("t")) * F.sum(weight * F.col("trips")).over(order.rowsBetween(W.unboundedPreceding, 0))
+        level = ewm(F.col("trips"), F.col("t"), "zone_id", size, current=True)
         tail = panel.select("zone_id", "pickup_hour", level.alias("v")).groupBy("zone_id").agg(F.max("pickup_hour").alias("last"), F.array(F.max_by("v", "pickup_hour")).alias("h"))
         steps = F.array_repeat(F.col("h")[0], horizon)
     else:
@@ -148,7 +146,7 @@ def forecast_next_horizon(demand: DataFrame, method: str = "seasonal_naive_24",
 
 
 def ewm_by_zone(panel: DataFrame, halflife: float) -> DataFrame:
-    """As ewm_level for panels of over 900 half-lives: pickup_hour, zone_id, trips, level, a zone to a task."""
+    """As ewm_level, in pandas: pickup_hour, zone_id, trips, level, a zone to a task."""
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pickup_hour")

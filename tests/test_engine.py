@@ -81,6 +81,20 @@ def test_ewm_matches_pandas(spark):
     assert (slow["level"] - want).abs().max() < 1e-9
 
 
+def test_ewm_of_long_panels(spark):
+    import pandas as pd
+
+    hours = 13_500
+    rows = [(T0 + timedelta(hours=h), z, (h * h + z) % 97 if h % 3 else 0) for z in (1, 2) for h in range(hours)]
+    long = spark.createDataFrame(rows, "pickup_hour timestamp_ntz, zone_id long, trips long")
+    got = forecast.ewm_forecast(long, 12).orderBy("pickup_hour").toPandas()
+    ahead = {r["zone_id"]: r["yhat"] for r in forecast.forecast_next_horizon(long, "ewm_12", 1).collect()}
+    for z, g in got.groupby("zone_id"):
+        want = pd.Series(g["y"]).ewm(halflife=12, adjust=False).mean()
+        assert g["yhat"].isna().sum() == 1 and (g["yhat"] - want.shift(1)).abs().max() < 1e-9
+        assert abs(ahead[z] - want.iloc[-1]) < 1e-9
+
+
 def test_panel_backtest_and_horizons(spark):
     gap = demand(spark, 30).filter(F.col("pickup_hour") != F.lit("2024-01-01 05:00:00").cast("timestamp_ntz"))
     assert forecast.hourly_panel(gap).count() == 30
