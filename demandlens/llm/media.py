@@ -258,7 +258,7 @@ def decode(media: bytes, canvas: bool = True) -> Iterator[Frame]:
         palette = palette if palette is not None else np.repeat(np.arange(256, dtype=np.uint8), 3).reshape(-1, 3)
         shown = None
         if screen is not None:
-            before = screen.copy()
+            before = screen.copy() if disposal == 3 else None
             flat = np.frombuffer(indices.ljust(w * h, b"\0"), np.uint8).reshape(h, w)
             mask = np.zeros(w * h, bool)
             mask[: len(indices)] = True
@@ -290,6 +290,12 @@ def histogram(frame: Frame) -> list[int]:
     return np.bincount(luma >> 4, counts, 16).astype(np.int64).tolist()
 
 
+def colours(canvas: np.ndarray) -> list[int]:
+    """Opaque pixels of a shown frame in 16 classes of red, then of green, then of blue."""
+    shown = canvas[canvas[..., 3] > 0]
+    return np.concatenate([np.bincount(shown[:, c] >> 4, minlength=16) for c in range(3)]).tolist()
+
+
 def _stored(unit: int, fill: int):
     def run(batches):
         for batch in batches:
@@ -310,35 +316,44 @@ def store_texts(docs: DataFrame, unit: int = WIDTH, fill: int = 255) -> DataFram
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(_stored(unit, fill), "doc_id long, n_bytes long, media binary")
 
 
-FRAMES = "array<struct<index:int,time_ms:long,delay_ms:int,width:int,height:int,histogram:array<long>>>"
+FRAMES = "array<struct<index:int,time_ms:long,delay_ms:int,width:int,height:int,histogram:array<long>,pixels:binary>>"
+
+
+#: Bytes of shown frames after which a batch of rows is handed on.
+PIXELS = 1 << 24
 
 
 def _read(batches):
-    kind = pa.list_(pa.struct([("index", pa.int32()), ("time_ms", pa.int64()), ("delay_ms", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("histogram", pa.list_(pa.int64()))]))
+    kind = pa.list_(pa.struct([("index", pa.int32()), ("time_ms", pa.int64()), ("delay_ms", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("histogram", pa.list_(pa.int64())), ("pixels", pa.binary())]))
+    types = (kind, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
     for batch in batches:
-        for k in range(0, batch.num_rows, 128):
-            some = batch.slice(k, 128)
-            cols: list[list] = [[] for _ in range(6)]
-            for media in some.column(1).to_pylist():
-                frames, digest, tail, size = [], hashlib.sha256(), b"", 0
-                try:
-                    for f in decode(media or b"", canvas=False):
-                        frames.append({"index": f.index, "time_ms": f.time_ms, "delay_ms": f.delay_ms, "width": f.width, "height": f.height, "histogram": histogram(f)})
-                        digest.update(f.indices)
-                        size += len(f.indices)
-                        tail = (tail + f.indices[-32:])[-32:]
-                except ValueError:
-                    frames = None
-                row = (frames, size, digest.hexdigest(), zlib.crc32(tail), len(media or b""), hashlib.sha256(media or b"").hexdigest())
-                for c, v in zip(cols, row, strict=True):
-                    c.append(v)
-            types = (kind, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["row", "frames", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"])
+        start, held, cols = 0, 0, [[] for _ in range(6)]
+        for k in range(batch.num_rows):
+            media = batch.column(1)[k].as_py()
+            frames, digest, tail, size = [], hashlib.sha256(), b"", 0
+            try:
+                for f in decode(media or b""):
+                    frames.append({"index": f.index, "time_ms": f.time_ms, "delay_ms": f.delay_ms, "width": f.canvas.shape[1], "height": f.canvas.shape[0], "histogram": colours(f.canvas), "pixels": f.canvas.tobytes()})
+                    digest.update(f.indices)
+                    size += len(f.indices)
+                    held += f.canvas.nbytes
+                    tail = (tail + f.indices[-32:])[-32:]
+            except ValueError:
+                frames = None
+            row = (frames, size, digest.hexdigest(), zlib.crc32(tail), len(media or b""), hashlib.sha256(media or b"").hexdigest())
+            for c, v in zip(cols, row, strict=True):
+                c.append(v)
+            if k + 1 == batch.num_rows or k + 1 - start == 128 or held >= PIXELS:
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, k + 1 - start), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["row", "frames", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"])
+                start, held, cols = k + 1, 0, [[] for _ in range(6)]
 
 
 def read_media(stored: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
-    """Decode the media column: timed frames with histograms, and digests of the samples and the stored form.
+    """Decode the media column: timed frames as shown, and digests of the samples and the stored form.
 
+    A frame is the canvas after it is drawn, by transparency and disposal: its
+    size, colour histogram and RGBA rows.  The payload
+    columns are of the stored indices.
     Null or faulty media have null frames and no samples.
     """
     rows = stored.select(F.struct(*keep).alias("row"), "media")

@@ -251,6 +251,22 @@ def test_gif_disposal_and_transparency():
     assert shown == [[red, red], [red, red], [green, green], [clear, green]]
 
 
+def test_media_frames_as_shown(spark):
+    import struct
+
+    palette = bytes([200, 0, 0, 0, 102, 0])  # of one luminance
+    frame = lambda disposal, transparent, left, data: b"\x21\xf9\x04" + bytes([disposal << 2 | (transparent is not None)]) + struct.pack("<H", 5) + bytes([transparent or 0, 0]) + b"\x2c" + struct.pack("<HHHHB", left, 0, len(data), 1, 0) + b"\x08" + media._chunks(media.lzw_encode(data))
+    gif = b"GIF89a" + struct.pack("<HHBBB", 2, 1, 0x80, 0, 0) + palette + frame(1, None, 0, b"\0\0") + frame(3, None, 1, b"\1") + frame(2, 1, 0, b"\1\1") + frame(0, 0, 0, b"\0\1") + b"\x3b"
+    r, g, none = bytes([200, 0, 0, 255]), bytes([0, 102, 0, 255]), bytes(4)
+    want = [r + r, r + g, r + r, none + g]
+    row = media.read_media(spark.createDataFrame([(1, 2, bytearray(gif))], "doc_id long, n_bytes long, media binary")).first()
+    for f, pixels in zip(row["frames"], want, strict=True):
+        opaque = [p for p in (pixels[:4], pixels[4:]) if p[3]]
+        assert (f["width"], f["height"], f["time_ms"]) == (2, 1, 50 * f["index"])
+        assert f["histogram"] == [sum(p[c] >> 4 == k for p in opaque) for c in range(3) for k in range(16)]
+        assert bytes(f["pixels"]) == pixels
+
+
 def test_media_of_texts(spark):
     df, texts = documents(spark)
     got = {r["doc_id"]: r for r in media.read_media(media.store_texts(df)).collect()}
