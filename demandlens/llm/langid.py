@@ -7,13 +7,14 @@ log2(sample length) / text length, wins.  Whole texts are parsed, in blocks of
 `BLOCK` bytes that each begin a new phrase, so that thousands of blocks walk
 the tables side by side in numpy.
 
-The labelled sample is bounded: `docs_per_lang` rows a language by hash of the
-id, a slice of at most `slice_bytes` of each.  Everything else covers all rows.
+The labelled sample is bounded: `docs_per_lang` rows a language by hash, a
+slice of at most `slice_bytes` of each.  Everything else covers all rows.  The
+tables, some 12 MB a language, are built once on the driver and broadcast;
+workers drop them with their next task of another kind.
 """
 
 from __future__ import annotations
 
-import functools
 import math
 
 import numpy as np
@@ -67,25 +68,30 @@ class Model:
         self.classes = len(seen) + 2  # 0: unseen byte, last: padding
         self.code = np.zeros(256, np.uint8)
         self.code[seen] = np.arange(1, len(seen) + 1)
-        tables, starts, base = [], [], 0
+        # An automaton of n bytes has fewer than 2 n + 2 states; rows that are not used are never touched.
+        most = sum(2 * len(b) + 3 for _, b in samples)
+        table, starts, base = np.empty((most, self.classes), np.int32), [], 0
         for _, sample in samples:
             moves = suffix_automaton(sample)
             n = len(moves)
-            row = np.full(self.classes, 2 * ((base + n) * self.classes) + 1, np.int64)
+            row = np.full(self.classes, 2 * ((base + n) * self.classes) + 1, np.int32)
             for c, to in moves[0].items():
                 row[self.code[c]] = 2 * ((base + to) * self.classes) + 1
             row[-1] = 2 * ((base + n) * self.classes)
-            table = np.tile(row, (n + 1, 1))
-            for state, out in enumerate(moves):
-                if state:
-                    for c, to in out.items():
-                        table[state, self.code[c]] = 2 * ((base + to) * self.classes)
-            tables.append(table)
+            table[base : base + n + 1] = row
+            for state in range(1, n):
+                here = table[base + state]
+                for c, to in moves[state].items():
+                    here[self.code[c]] = 2 * ((base + to) * self.classes)
+                moves[state] = None
             starts.append((base + n) * self.classes)
             base += n + 1
-        self.table = np.concatenate(tables).astype(np.int32).ravel()
+        self.table = table[:base].ravel()
         self.starts = np.array(starts, np.int32)
 
+    def __getstate__(self):
+        return self.__dict__ | {"table": self.table.copy()}  # without the rows that are not used
+
     def phrases(self, texts: list[bytes]) -> np.ndarray:
         """Number of phrases of each text (rows) in each language (columns)."""
         n_blocks = np.array([-(-len(t) // BLOCK) for t in texts])
@@ -120,30 +126,29 @@ class Model:
         return [self.langs[k] for k in best], np.clip(1 - low / np.maximum(second, 1e-12), 0, 1), low
 
 
-@functools.lru_cache(2)
-def _model(samples: tuple[tuple[str, bytes], ...]) -> Model:
-    return Model(samples)
-
-
 def learn(train: DataFrame, docs_per_lang: int = 128, slice_bytes: int = 256, min_letters: int = 40) -> tuple[tuple[str, bytes], ...]:
     """Labelled samples (lang, bytes), at most docs_per_lang * slice_bytes of each language.
 
-    Rows with a null lang, text or id, or hardly a letter, teach nothing.
+    Rows with a null lang or id, or a text without a letter, teach nothing;
+    texts shorter than min_letters are taken where a language has too few
+    others.  Rows that share an id but not the text are rows of their own;
+    rows alike in both teach once.
     """
-    ids = train.filter("lang is not null and doc_id is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    picked = ids.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("k") <= docs_per_lang).select("doc_id", "lang")
-    text = F.lower("text")
-    cut = F.substring(text, (F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length(text) - slice_bytes)) + 1).cast("int"), F.lit(slice_bytes))
-    rows = train.join(F.broadcast(picked), ["doc_id", "lang"]).filter(F.regexp_count("text", F.lit(r"\p{L}")) >= min_letters).select("lang", "doc_id", cut.alias("cut"))
-    found: dict[str, dict[int, bytes]] = {}
-    for r in rows.distinct().collect():
-        found.setdefault(r["lang"], {})[r["doc_id"]] = r["cut"].encode()[:slice_bytes]
+    text = F.col("text")
+    place = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length(text) - slice_bytes)) + 1
+    rows = train.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.rlike(text, F.lit(r"\p{L}")))
+    rows = rows.select("lang", (F.length(text) < min_letters).alias("short"), F.xxhash64("doc_id", text).alias("h"), F.lower(F.substring(text, place.cast("int"), F.lit(slice_bytes))).alias("cut"))
+    first = W.partitionBy("lang").orderBy("short", "h", "cut")
+    picked = rows.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= docs_per_lang)
+    found: dict[str, dict[tuple, bytes]] = {}
+    for r in picked.select("lang", "h", "cut").distinct().collect():
+        found.setdefault(r["lang"], {})[r["h"], r["cut"]] = r["cut"].encode("utf-8", "replace")[:slice_bytes]
     return tuple((lang, b"\n".join(found[lang][k] for k in sorted(found[lang]))) for lang in sorted(found))
 
 
-def _predict(samples):
+def _predict(shared):
     def run(batches):
-        model = _model(samples) if samples else None
+        model = shared.value if shared else None
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
                 some = batch.slice(k, 1024)
@@ -161,12 +166,15 @@ def _predict(samples):
 def identify(docs: DataFrame, samples: tuple[tuple[str, bytes], ...], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` of docs with lang_pred, score (0 to 1) and bits (a byte, null for und).
 
-    `und`, score 0: the text is null, empty or has no letter, or nothing was learned.
+    `und`, score 0: the text is null, empty or has no letter, or nothing was
+    learned.  Every row comes out once; repeated rows and null ids are rows
+    like others, and columns of docs that are not kept are not read.
     """
     text = F.when(F.rlike(F.col("text"), F.lit(r"\p{L}")), F.lower("text"))
     rows = docs.select(F.struct(*keep).alias("row"), text.alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_predict(samples), f"row {kind}, lang_pred string, score double, bits double").select("row.*", "lang_pred", "score", "bits")
+    shared = docs.sparkSession.sparkContext.broadcast(Model(samples)) if samples else None
+    return rows.mapInArrow(_predict(shared), f"row {kind}, lang_pred string, score double, bits double").select("row.*", "lang_pred", "score", "bits")
 
 
 def held_out(docs: DataFrame):
