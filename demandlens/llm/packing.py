@@ -1,8 +1,9 @@
 """Packing token sequences by non-negative least squares over a length histogram.
 
-Documents become token ids once, in a table of the shared folder.  Whole
-windows are cut off each document's start; the rest, of 0 < r < window tokens,
-is packed: shallow combinations of up to three lengths that fill a window are
+Documents become token ids once, in a table of the shared folder; a task that
+makes them numbers its rests of each length, so that ranks over all documents
+need the counts of tasks alone and no token is shuffled.  Whole windows are cut
+off each document's start; the rest, of 0 < r < window tokens, is packed: shallow combinations of up to three lengths that fill a window are
 enumerated, their repeat counts solved against the histogram of r (at most
 window - 1 numbers, whatever the corpus) and rounded down, so every combination
 is a full sequence of uncut pieces.  What is left over is packed greedily,
@@ -14,19 +15,21 @@ from __future__ import annotations
 
 import functools
 import sys
-import zlib
 from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, running_totals
+from .common import materialise
 
-#: Most chunks whose ids a worker remembers; idle workers keep theirs, some 300 bytes a chunk.
+#: Most chunks whose ids a task remembers, some 300 bytes a chunk.
 CACHE = 1 << 17
+#: Tasks whose counts may be broadcast, at most 17 KB each; beyond it they are joined by task.
+PARTS = 1 << 10
 #: Ids of sequences that hold one whole window begin at WHOLE << 40.
 WHOLE = 1
 
@@ -51,12 +54,13 @@ def _ranked(tokenizer):
 
 @functools.lru_cache(2)
 def _encoder(path: str):
-    """encode(texts) -> ids as little-endian uint32 bytes, with a cache of chunks.
+    """encode(texts) -> ids as little-endian uint32 bytes, with a cache of chunks, and a function that empties it.
 
     A pre-token of this byte-level vocabulary never spans the start of a run of
     blanks or line feeds that follows another kind of character, so chunks that
     begin there can be encoded apart.  A chunk that ends in any other white
-    space sends its text the plain way.  New chunks go through the same merges
+    space sends its text the plain way, as does an added token (such as an
+    end-of-text mark) that a text spells out, which is one id.  New chunks go through the same merges
     in tiktoken, several times faster a word, if it agrees with the tokenizer
     on a set of probes; else through the tokenizer.
     """
@@ -67,7 +71,7 @@ def _encoder(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     chunks = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
     known: dict[str, bytes] = {}
     odd: set[str] = set()
@@ -75,7 +79,7 @@ def _encoder(path: str):
     def plain(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    probes = [*"aé中🙂", "The quick brown fox's 123 jumps!\n\n  over\t<|endoftext|>", " naïve  déjà-vu  ÜBER ", "x" * 300, "\x00\x1c\u2028~"]
+    probes = [*"aé中🙂", "The quick brown fox's 123 jumps!\n\n  over\t<|x|>", " naïve  déjà-vu  ÜBER ", "x" * 300, "\x00\x1c\u2028~"]
     fast = _ranked(tokenizer)
 
     def merged(parts: list[str]) -> list[bytes]:
@@ -89,6 +93,9 @@ def _encoder(path: str):
     def encode(texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
+            if any(a in text for a in added):
+                out += plain([text])
+                continue
             parts = chunks(text)
             try:
                 ids = b"".join(map(known.__getitem__, parts))
@@ -104,32 +111,52 @@ def _encoder(path: str):
             out.append(ids)
         return out
 
-    return encode
+    def forget() -> None:
+        known.clear(), odd.clear()
 
+    return encode, forget
 
-def _tokenised(path: str, end: int):
+
+TOKENS = "doc_id long, uid long, n long, first long, part int, local long, ids binary"
+
+
+def _tokenised(path: str, end: int, window: int):
     def run(batches):
-        encode, part = _encoder(path), TaskContext.get().partitionId()
+        (encode, forget), part = _encoder(path), TaskContext.get().partitionId()
         row = whole = 0
         stop = np.array([end], "<u4").tobytes()
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                some = batch.slice(k, 256)
-                ids = [x + stop for x in encode([t or "" for t in some.column(1).to_pylist()])]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                uid = (part << 40) + row + np.arange(len(n), dtype=np.int64)
-                full = n // 1024
-                first = ((part + WHOLE) << 40) + whole + np.cumsum(full) - full
-                row, whole = row + len(n), whole + int(full.sum())
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(uid), pa.array(n), pa.array(first), pa.array(ids, pa.binary())], ["doc_id", "uid", "n", "first", "ids"])
+        seen = np.zeros(window, np.int64)
+        try:
+            for batch in batches:
+                for k in range(0, batch.num_rows, 256):
+                    some = batch.slice(k, 256)
+                    ids = [x + stop for x in encode([t or "" for t in some.column(1).to_pylist()])]
+                    n = np.array([len(x) // 4 for x in ids], np.int64)
+                    uid = (part << 40) + row + np.arange(len(n), dtype=np.int64)
+                    full, r = n // window, n % window
+                    first = ((part + WHOLE) << 40) + whole + np.cumsum(full) - full
+                    order = np.argsort(r, kind="stable")
+                    begins = np.searchsorted(r[order], r[order])
+                    local = np.empty(len(n), np.int64)
+                    local[order] = seen[r[order]] + np.arange(len(n)) - begins
+                    np.add.at(seen, r, 1)
+                    row, whole = row + len(n), whole + int(full.sum())
+                    yield pa.RecordBatch.from_arrays([some.column(0), pa.array(uid), pa.array(n), pa.array(first), pa.array(np.full(len(n), part, np.int32)), pa.array(local), pa.array(ids, pa.binary())], [c.split()[0] for c in TOKENS.split(", ")])
+        finally:
+            forget()
 
     return run
 
 
-def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
-    """doc_id, uid, n, first, ids (little-endian uint32 bytes) of whole texts, in the shared folder; null texts are empty."""
+def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 0, window: int = 1024) -> DataFrame:
+    """TOKENS of whole texts, in the shared folder; null texts are empty.
+
+    ids are little-endian uint32 bytes; uid tells apart rows that share a
+    doc_id; `local` counts the rows before it in task `part` that leave as many
+    tokens after whole windows, the first of which has sequence id `first`.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return materialise(rows.mapInArrow(_tokenised(tokenizer_path, end_id), "doc_id long, uid long, n long, first long, ids binary"), "tokens")
+    return materialise(rows.mapInArrow(_tokenised(tokenizer_path, end_id, window), TOKENS), "tokens")
 
 
 def combinations(window: int, lengths: np.ndarray) -> np.ndarray:
@@ -240,49 +267,54 @@ class Plan:
 
 def _placed(plan: Plan):
     def run(batches):
+        w = plan.window
         for batch in batches:
-            cols = {c: [] for c in ("doc_id", "uid", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")}
-            w = plan.window
-            for doc, uid, n, first, ids, rank in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "uid", "n", "first", "ids", "rank")), strict=True):
-                cut = [(j * w, w, first + j, 0) for j in range(n // w)]
-                if n % w:
-                    cut += [(n - n % w + s, *more) for s, *more in plan.pieces(n % w, rank)]
-                for start, length, seq, offset in cut:
-                    for c, v in zip(cols, (doc, uid, start, length, ids[4 * start : 4 * (start + length)], n, seq, offset), strict=True):
-                        cols[c].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if c == "ids" else pa.int64()) for c, v in cols.items()], list(cols))
+            for k in range(0, batch.num_rows, 1024):
+                some = batch.slice(k, 1024)
+                cols = {c: [] for c in ("doc_id", "uid", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")}
+                for doc, uid, n, first, ids, rank in zip(*(some.column(c).to_pylist() for c in ("doc_id", "uid", "n", "first", "ids", "rank")), strict=True):
+                    cut = [(j * w, w, first + j, 0) for j in range(n // w)]
+                    if n % w:
+                        cut += [(n - n % w + s, *more) for s, *more in plan.pieces(n % w, rank)]
+                    for start, length, seq, offset in cut:
+                        for c, v in zip(cols, (doc, uid, start, length, ids[4 * start : 4 * (start + length)], n, seq, offset), strict=True):
+                            cols[c].append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if c == "ids" else pa.int64()) for c, v in cols.items()], list(cols))
 
     return run
 
 
+def ranked(tokens: DataFrame, counts: DataFrame, parts: int) -> DataFrame:
+    """tokens with rank: how many rests of its length come before it, by task and place in the task.
+
+    counts has part, r, n.  The running sums have one row for a task and
+    length; tokens meet them by task, without a shuffle up to PARTS tasks.
+    """
+    before = F.coalesce(F.sum("n").over(W.partitionBy("r").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bases = counts.select("part", "r", before.alias("base")).groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("r", "base"))).alias("bases"))
+    bases = F.broadcast(bases) if parts <= PARTS else bases
+    return tokens.join(bases, "part").withColumn("rank", F.col("local") + F.col("bases")[F.col("r")])
+
+
 def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int = 0) -> DataFrame:
     """Pieces of all documents: doc_id, uid, start, length, ids, doc_tokens, sequence_id, offset.
 
     ids are the piece's tokens (little-endian uint32 bytes); uid tells apart
-    rows that share a doc_id.  Null and empty texts hold the end token alone.
-    Nothing is dropped or padded; only the columns doc_id and text are read.
+    rows that share a doc_id, so repeated rows are packed each for itself.
+    Null and empty texts hold the end token alone; null doc_ids stay null; an
+    empty table gives no pieces.  Nothing is dropped or padded; only the
+    columns doc_id and text are read, whatever others there are.
     """
-    if window != 1024:
-        raise ValueError("whole windows are cut at 1024 tokens")
-    tokens = tokenise(docs, tokenizer_path, end_id)
-    tokens = tokens.withColumn("r", F.col("n") % window)
-    counts = {r["r"]: r["count"] for r in tokens.groupBy("r").count().collect()}
+    tokens = tokenise(docs, tokenizer_path, end_id, window).withColumn("r", (F.col("n") % window).cast("int"))
+    counts = materialise(tokens.groupBy("part", "r").agg(F.count("*").alias("n")), "rests")
     histogram = np.zeros(window + 1, np.int64)
-    for r, c in counts.items():
-        histogram[r] = c
-    plan = Plan(window, histogram)
-    rows = int(sum(counts.values()))
-    tokens = tokens.withColumn("one", F.lit(1)).withColumn("bucket", F.pmod(F.xxhash64("uid"), F.lit(max(1, min(rows, int(histogram.max())) // 512))))
-    ranked = running_totals(tokens, ["r"], "bucket", ["uid"], {"one": "rank"})
-    return ranked.select("doc_id", "uid", "n", "first", "ids", "rank").mapInArrow(_placed(plan), "doc_id long, uid long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
-
-
-def _digests(batches):
-    for batch in batches:
-        crc = pa.array([zlib.crc32(b.as_buffer()) if b.is_valid else None for b in batch.column(1)], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), crc, batch.column(4), batch.column(5), batch.column(6)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+    for r in counts.groupBy("r").agg(F.sum("n").alias("n")).collect():
+        histogram[r["r"]] = r["n"]
+    parts = counts.select("part").distinct().count()
+    out = ranked(tokens, counts, parts).select("doc_id", "uid", "n", "first", "ids", "rank")
+    return out.mapInArrow(_placed(Plan(window, histogram)), "doc_id long, uid long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def piece_digests(pieces: DataFrame) -> DataFrame:
     """The pieces with the CRC-32 of their ids instead of the ids."""
-    return pieces.select("doc_id", "ids", "start", "length", "doc_tokens", "sequence_id", "offset").mapInArrow(_digests, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
