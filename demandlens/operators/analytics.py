@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from .aggregate import busiest_zones
 
-# Lower-case patterns of the segments.
+# Lower-case patterns of airport zones, and the borough, whose name must be exact.
 AIRPORTS = ("%jfk%", "%la guardia%")
-ISLAND = "manhattan"
+ISLAND = "Manhattan"
 
 
 def weekday_weekend_demand(trips: DataFrame) -> DataFrame:
@@ -22,13 +22,13 @@ def weekday_weekend_demand(trips: DataFrame) -> DataFrame:
 
 
 def airport_vs_manhattan(trips: DataFrame, zones: DataFrame, airports: tuple[str, ...] = AIRPORTS, island: str = ISLAND) -> DataFrame:
-    """segment, day, trips, avg_distance, avg_fare; zones without a lookup row are `other`."""
+    """segment, day, trips, avg_distance, avg_fare; zones without a lookup row are `other`.  Patterns meet lower-case zone names."""
     sums = trips.groupBy("pu_location_id", "pickup_date").agg(F.count("*").alias("n"), *(f(c).alias(f"{c}_{k}") for c in ("trip_distance", "fare_amount") for k, f in (("s", F.sum), ("c", F.count))))
     name = F.lower("zone")
     flying = F.lit(False)
     for p in airports:
         flying |= name.like(p)
-    segment = F.when(flying, "airport").when(F.lower("borough") == island, "manhattan").otherwise("other")
+    segment = F.when(flying, "airport").when(F.col("borough") == island, "manhattan").otherwise("other")
     joined = sums.join(zones, F.col("pu_location_id") == F.col("location_id"), "left")
     mean = lambda c: F.sum(f"{c}_s") / F.nullif(F.sum(f"{c}_c"), F.lit(0))
     return joined.groupBy(segment.alias("segment"), F.col("pickup_date").alias("day")).agg(F.sum("n").alias("trips"), mean("trip_distance").alias("avg_distance"), mean("fare_amount").alias("avg_fare"))

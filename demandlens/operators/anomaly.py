@@ -46,11 +46,21 @@ def detect_anomalies(demand: DataFrame, baseline: DataFrame, threshold: float =
 
 
 def fit_robust_baseline(demand: DataFrame) -> DataFrame:
-    """zone_id, hour_of_week, median, mad, n."""
-    rows = _bucketed(demand)
-    med = rows.groupBy(*KEYS).agg(F.median("trips").alias("median"), F.count("*").alias("n"))
-    mad = rows.join(med, KEYS).groupBy(*KEYS).agg(F.median(F.abs(F.col("trips") - F.col("median"))).alias("mad"))
-    return med.join(mad, KEYS).select(*KEYS, "median", "mad", "n")
+    """zone_id, hour_of_week, median, mad, n.
+
+    One aggregation: a bucket has one count a week, so its counts fit an array.
+    """
+    rows = _bucketed(demand).groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.col("trips").cast("double"))).alias("x"), F.count("*").alias("n"))
+    rows = rows.withColumn("median", _median(F.col("x")))
+    apart = F.sort_array(F.transform("x", lambda v: F.abs(v - F.col("median"))))
+    return rows.withColumn("x", apart).select(*KEYS, "median", _median(F.col("x")).alias("mad"), "n")
+
+
+def _median(x: Column) -> Column:
+    """Of a sorted array; null of an empty one."""
+    n = F.size(x)
+    middle = lambda k: F.get(x, F.floor(k / 2).cast("int"))
+    return (middle(n - 1) + middle(n)) / 2
 
 
 def robust_z_scores(demand: DataFrame, baseline: DataFrame | None = None, min_mad: float = 1.0) -> DataFrame:

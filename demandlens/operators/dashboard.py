@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..charts import Panel, draw
+
 
 def city_series(demand: DataFrame) -> DataFrame:
     return demand.groupBy("pickup_hour").agg(F.sum("trips").alias("trips"))
@@ -36,21 +38,23 @@ def hotspot_pivot(demand: DataFrame, zones: list[int]) -> DataFrame:
 
 
 def build_dashboard(demand: DataFrame, path: str, anomalies: DataFrame | None = None, forecast: DataFrame | None = None) -> str:
-    """Draw the four panels to a PNG (needs matplotlib)."""
-    import matplotlib
-
-    matplotlib.use("Agg")
-    import matplotlib.pyplot as plt
+    """Draw city demand, busiest zones, anomalies an hour and the forecast (or hotspots) to a file, SVG by its suffix.
 
-    figure, axes = plt.subplots(2, 2, figsize=(14, 9))
-    city_series(demand).orderBy("pickup_hour").toPandas().plot(x="pickup_hour", y="trips", ax=axes[0][0], title="City demand")
-    top = zone_totals(demand).toPandas()
-    top.plot.bar(x="zone_id", y="trips", ax=axes[0][1], title="Busiest zones")
+    What reaches the driver has one row an hour or a zone.
+    """
+    panels = [panel("City demand", city_series(demand), "pickup_hour")]
+    top = zone_totals(demand)
+    panels.append(panel("Busiest zones", top, "zone_id", bars=True, sort=False))
     if anomalies is not None:
-        anomalies_per_hour(anomalies).orderBy("pickup_hour").toPandas().plot(x="pickup_hour", y="anomalies", ax=axes[1][0], title="Anomalies")
-    panel = forecast_vs_actual(demand, forecast) if forecast is not None else hotspot_pivot(demand, top["zone_id"].tolist()[:5])
-    panel.orderBy("pickup_hour").toPandas().plot(x="pickup_hour", ax=axes[1][1], title="Forecast" if forecast is not None else "Hotspots")
-    figure.tight_layout()
-    figure.savefig(path)
-    plt.close(figure)
-    return path
+        panels.append(panel("Anomalies", anomalies_per_hour(anomalies), "pickup_hour", bars=True))
+    if forecast is not None:
+        panels.append(panel("Forecast of the busiest zone", forecast_vs_actual(demand, forecast), "pickup_hour"))
+    else:
+        panels.append(panel("Hotspots", hotspot_pivot(demand, [int(z) for z in panels[1].labels][:5]), "pickup_hour"))
+    return draw(panels, path)
+
+
+def panel(title: str, rows: DataFrame, label: str, bars: bool = False, sort: bool = True) -> Panel:
+    """All other columns of report-sized rows against the label column."""
+    got = (rows.orderBy(label) if sort else rows).collect()
+    return Panel(title, [str(r[label]) for r in got], {c: [r[c] for r in got] for c in rows.columns if c != label}, bars)

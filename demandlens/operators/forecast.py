@@ -100,11 +100,11 @@ def backtest_zone_forecasts(demand: DataFrame, methods: list[str] | None = None,
     names = list(METHODS) if methods is None else list(methods)
     if unknown := [m for m in names if m not in METHODS]:
         raise KeyError(unknown[0])
-    panel = hourly_panel(demand)
-    span = panel.agg(F.count_distinct("pickup_hour").alias("n"), F.max("pickup_hour").alias("end")).first()
-    if span["n"] <= holdout_hours:
-        raise ValueError(f"{span['n']} hours are too few for a holdout of {holdout_hours}")
-    rows = _numbered(panel).select("pickup_hour", "trips", *(METHODS[m]().alias(m) for m in names))
+    span = demand.agg(F.min("pickup_hour").alias("start"), F.max("pickup_hour").alias("end")).first()
+    n = int((span["end"] - span["start"]).total_seconds()) // 3600 + 1 if span["end"] else 0
+    if n <= holdout_hours:
+        raise ValueError(f"{n} hours are too few for a holdout of {holdout_hours}")
+    rows = _numbered(hourly_panel(demand)).select("pickup_hour", "trips", *(METHODS[m]().alias(m) for m in names))
     rows = rows.filter(F.col("pickup_hour") > F.lit(span["end"]).cast("timestamp_ntz") - F.expr(f"interval {holdout_hours} hours"))
     long = rows.select(F.col("trips").alias("y"), F.explode(F.array(*(F.struct(F.lit(m).alias("method"), F.col(m).alias("yhat")) for m in names))).alias("f")).select("y", "f.*")
     return forecast_metrics(long, "method").withColumn("holdout_hours", F.lit(holdout_hours).cast("long")).orderBy("rmse", "mae", "method")

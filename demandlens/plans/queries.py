@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import timedelta
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregate, analytics, anomaly, approximate, clean, dashboard, forecast, hotspot, mapreduce
 from ..session import use_utc
-from ..sources.adapters import demand, raw_trips, zones
+from ..sources import files, store
+from ..sources.adapters import demand, dirty_trips, long_demand, raw_trips, zones
+from ..storage import scratch
 from ..streaming import monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,10 +137,10 @@ def weekday_weekend(spark, sf_dir):
     return analytics.weekday_weekend_demand(trips(spark, sf_dir))
 
 
-@query(f"""WITH {RAW} SELECT CASE WHEN lower(zone) LIKE '%united%' OR lower(zone) LIKE '%japan%' THEN 'airport' WHEN lower(borough) = 'asia' THEN 'manhattan' ELSE 'other' END AS segment,
+@query(f"""WITH {RAW} SELECT CASE WHEN lower(zone) LIKE '%united%' OR lower(zone) LIKE '%japan%' THEN 'airport' WHEN borough = 'ASIA' THEN 'manhattan' ELSE 'other' END AS segment,
   pickup_date AS day, count(*) AS trips, round(avg(trip_distance), 6) AS avg_distance, round(avg(fare_amount), 6) AS avg_fare FROM trips LEFT JOIN zones ON pu_location_id = location_id GROUP BY ALL""")
 def segment_by_day(spark, sf_dir):
-    return analytics.airport_vs_manhattan(trips(spark, sf_dir), zones(spark, sf_dir), ("%united%", "%japan%"), "asia")
+    return analytics.airport_vs_manhattan(trips(spark, sf_dir), zones(spark, sf_dir), ("%united%", "%japan%"), "ASIA")
 
 
 @query(f"""WITH {RAW} SELECT pu_location_id AS origin_id, do_location_id AS destination_id, count(*) AS trips, round(avg(trip_distance), 6) AS avg_distance, round(avg(total_amount), 6) AS avg_total
@@ -264,23 +265,35 @@ def backtest(spark, sf_dir):
 _LAST = "l AS (SELECT zone_id, max(t) AS top, max(pickup_hour) AS last FROM panel GROUP BY ALL), s AS (SELECT unnest(range(1, 31)) AS step)"
 
 
-@query(f"""WITH {DEMAND}, {_LAST} SELECT last + to_hours(step::BIGINT) AS pickup_hour, l.zone_id, step::BIGINT AS step, trips::DOUBLE AS yhat, 'seasonal_naive_24' AS method
-  FROM l CROSS JOIN s JOIN panel p ON p.zone_id = l.zone_id AND p.t = top - 23 + (step - 1) % 24""")
-def horizon_seasonal(spark, sf_dir):
-    return forecast.forecast_next_horizon(demand(spark, sf_dir), "seasonal_naive_24", 30)
+def _horizon(method: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: forecast.forecast_next_horizon(demand(spark, sf_dir), method, 30)
 
 
-@query(f"""WITH RECURSIVE {DEMAND}, {_LAST}, g AS (SELECT l.zone_id, 0 AS step, any_value(last) AS last, list(trips::DOUBLE ORDER BY t) AS h FROM l JOIN panel p ON p.zone_id = l.zone_id AND t > top - 24 GROUP BY l.zone_id
-  UNION ALL SELECT zone_id, step + 1, last, list_append(h[2:], list_sum(h) / 24) FROM g WHERE step < 30)
-  SELECT last + to_hours(step::BIGINT) AS pickup_hour, zone_id, step::BIGINT AS step, round(h[24], 6) AS yhat, 'moving_average_24' AS method FROM g WHERE step > 0""")
-def horizon_ma(spark, sf_dir):
-    return forecast.forecast_next_horizon(demand(spark, sf_dir), "moving_average_24", 30)
+for _n in (24, 168):
+    query(f"""WITH {DEMAND}, {_LAST} SELECT last + to_hours(step::BIGINT) AS pickup_hour, l.zone_id, step::BIGINT AS step, trips::DOUBLE AS yhat, 'seasonal_naive_{_n}' AS method
+      FROM l CROSS JOIN s JOIN panel p ON p.zone_id = l.zone_id AND p.t = top - {_n - 1} + (step - 1) % {_n}""", f"horizon_seasonal_{_n}")(_horizon(f"seasonal_naive_{_n}"))
+    query(f"""WITH RECURSIVE {DEMAND}, {_LAST}, g AS (SELECT l.zone_id, 0 AS step, any_value(last) AS last, list(trips::DOUBLE ORDER BY t) AS h FROM l JOIN panel p ON p.zone_id = l.zone_id AND t > top - {_n} GROUP BY l.zone_id
+      UNION ALL SELECT zone_id, step + 1, last, list_append(h[2:], list_sum(h) / {_n}) FROM g WHERE step < 30)
+      SELECT last + to_hours(step::BIGINT) AS pickup_hour, zone_id, step::BIGINT AS step, round(h[{_n}], 6) AS yhat, 'moving_average_{_n}' AS method FROM g WHERE step > 0""", f"horizon_ma_{_n}")(_horizon(f"moving_average_{_n}"))
+for _n in (12, 24):
+    query(f"""WITH {DEMAND}, {_LAST}, w AS (SELECT p.zone_id, any_value(last) AS last, sum(CASE WHEN t = 0 THEN 1.0 ELSE 1 - pow(0.5, 1.0 / {_n}) END * pow(pow(0.5, 1.0 / {_n}), top - t) * trips) AS v FROM panel p JOIN l ON p.zone_id = l.zone_id GROUP BY p.zone_id)
+      SELECT last + to_hours(step::BIGINT) AS pickup_hour, zone_id, step::BIGINT AS step, round(v, 6) AS yhat, 'ewm_{_n}' AS method FROM w CROSS JOIN s""", f"horizon_ewm_{_n}")(_horizon(f"ewm_{_n}"))
 
 
-@query(f"""WITH {DEMAND}, {_LAST}, w AS (SELECT p.zone_id, any_value(last) AS last, sum(CASE WHEN t = 0 THEN 1.0 ELSE 1 - pow(0.5, 1.0 / 12) END * pow(pow(0.5, 1.0 / 12), top - t) * trips) AS v FROM panel p JOIN l ON p.zone_id = l.zone_id GROUP BY p.zone_id)
-  SELECT last + to_hours(step::BIGINT) AS pickup_hour, zone_id, step::BIGINT AS step, round(v, 6) AS yhat, 'ewm_12' AS method FROM w CROSS JOIN s""")
-def horizon_ewm(spark, sf_dir):
-    return forecast.forecast_next_horizon(demand(spark, sf_dir), "ewm_12", 30)
+# Over 30 000 hours; terms of more than 60 half-lives ago are below any rounding.
+_LONG = DEMAND.replace("date_trunc('hour', ts)::TIMESTAMP AS pickup_hour, (user_id % 5 + 1)", "TIMESTAMP '2020-01-01' + to_hours(event_id * 7919 % 30000) AS pickup_hour, (user_id % 2 + 1)")
+
+
+@query(f"""WITH {_LONG}, q AS (SELECT pow(0.5, 1.0 / 12) AS q), e AS (SELECT a.pickup_hour, a.zone_id, sum(CASE WHEN b.t = 0 THEN 1.0 ELSE 1 - q END * pow(q, a.t - 1 - b.t) * b.trips) AS v
+  FROM panel a JOIN panel b ON a.zone_id = b.zone_id AND b.t BETWEEN a.t - 720 AND a.t - 1 CROSS JOIN q GROUP BY ALL)
+  SELECT p.pickup_hour, p.zone_id, trips AS y, round(v, 6) AS yhat, 'ewm_halflife_12' AS method FROM panel p LEFT JOIN e ON e.pickup_hour = p.pickup_hour AND e.zone_id = p.zone_id""")
+def ewm_long(spark, sf_dir):
+    return forecast.ewm_forecast(long_demand(spark, sf_dir))
+
+
+@query(f"WITH {DEMAND} SELECT pickup_hour, zone_id, trips FROM demand")
+def hourly_panel_sparse(spark, sf_dir):
+    return forecast.hourly_panel(demand(spark, sf_dir), full_grid=False)
 
 
 def _events(spark, sf_dir):
@@ -342,7 +355,7 @@ def stream_topk(spark, sf_dir):
 def monitor_window(spark, sf_dir):
     m = monitor.StreamingMonitor(spark, timedelta(hours=24))
     m.update_batch(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 30 + 1).cast("long").alias("zone_id")))
-    return spark.createDataFrame(list(m.window_counts().items()), "zone_id long, trips long")
+    return m.window_frame()
 
 
 @query(f"WITH {DEMAND} SELECT pickup_hour, sum(trips)::BIGINT AS trips FROM demand GROUP BY ALL")
@@ -367,5 +380,72 @@ def forecast_vs_actual(spark, sf_dir):
     return dashboard.forecast_vs_actual(d, forecast.seasonal_naive_forecast(d))
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+@query("""WITH rows AS (SELECT event_id % 40 AS k, ts, ts + to_seconds(floor(value * 20)::BIGINT) AS drop_ts, (user_id % 30 + 1)::DOUBLE AS pu, event_id * 31 % 270 AS dz, value / 4 AS miles, value - 2 AS fare FROM events),
+  times AS (SELECT k, CASE WHEN k IN (1, 2) THEN NULL WHEN k = 3 THEN ('2002' || substr(ts::VARCHAR, 5))::TIMESTAMP ELSE ts END AS p, CASE WHEN k = 3 THEN ('2002' || substr(drop_ts::VARCHAR, 5))::TIMESTAMP ELSE drop_ts END AS d, CASE k WHEN 4 THEN NULL WHEN 5 THEN NULL WHEN 6 THEN 1.5 ELSE pu END AS pu, dz, miles, fare FROM rows),
+  twice AS (SELECT * FROM times UNION ALL SELECT * FROM times WHERE k = 7),
+  judged AS (SELECT *, CASE WHEN k IN (1, 4, 5) THEN 'missing_required' WHEN k = 2 THEN 'bad_datetime' WHEN epoch_us(d) - epoch_us(p) NOT BETWEEN 30000000 AND 21600000000 THEN 'bad_duration'
+    WHEN year(p) < 2010 THEN 'bad_date' WHEN pu NOT BETWEEN 1 AND 263 OR pu <> floor(pu) OR dz NOT BETWEEN 1 AND 263 THEN 'bad_zone' WHEN miles NOT BETWEEN 0 AND 100 OR fare < 0 THEN 'bad_fare_distance' END AS reason FROM twice),
+  n AS (SELECT count(*) AS o FROM (SELECT DISTINCT p, d, pu, dz, miles, fare FROM judged WHERE reason IS NULL))
+  SELECT count(*) AS input_rows, any_value(o) AS output_rows, count(*) - any_value(o) AS total_dropped, """ + ", ".join(f"count(*) FILTER (WHERE reason = '{r}') AS dropped_{r}" for r in clean.REASONS[:-1]) + ", count(*) FILTER (WHERE reason IS NULL) - any_value(o) AS dropped_duplicates FROM judged, n")
+def dirty_report(spark, sf_dir):
+    return clean.cleaning_report(dirty_trips(spark, sf_dir))
+
+
+@query("SELECT event_id, user_id, value FROM events")
+def load_trips(spark, sf_dir):
+    return files.load_trips(spark, f"{sf_dir}/events.parquet", columns=["event_id", "user_id", "value", "none"])
+
+
+@query(f"WITH {RAW} SELECT location_id, borough, zone, service_zone FROM zones")
+def load_zones(spark, sf_dir):
+    path = scratch(spark, "lookup")
+    zones(spark, sf_dir).toDF("LocationID", "Borough", "Zone", "service_zone").write.option("header", True).csv(path)
+    return files.load_zones(spark, path)
+
+
+@query(f"WITH {RAW} SELECT * REPLACE (round(trip_distance, 6) AS trip_distance, round(fare_amount, 6) AS fare_amount, round(total_amount, 6) AS total_amount) FROM trips")
+def stored_trips(spark, sf_dir):
+    """Clean trips through the store, in a database of their own."""
+    place = scratch(spark, "store")
+    name = "demand_" + place.rpartition("-")[2]
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{place}'")
+    before = spark.catalog.currentDatabase()
+    spark.catalog.setCurrentDatabase(name)
+    try:
+        store.insert_clean_trips(trips(spark, sf_dir))
+    finally:
+        spark.catalog.setCurrentDatabase(before)
+    return spark.table(f"{name}.clean_trips")
+
+
+@query(f"WITH {_RES}, r AS (SELECT zone_id, round_even(estimate, 0)::BIGINT AS estimate FROM est) SELECT row_number() OVER (ORDER BY estimate DESC, zone_id) AS rank, zone_id, estimate FROM r ORDER BY estimate DESC, zone_id LIMIT 10")
+def reservoir_topk(spark, sf_dir):
+    return approximate.reservoir_top_k(_events(spark, sf_dir), 500, 10, "event_id")
+
+
+@query(f"WITH {_CMS} SELECT * FROM cms")
+def cms_merged(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    return approximate.cms_merge(*(approximate.cms_table(ev.filter(F.col("event_id") % 3 == k), width=64) for k in range(3)))
+
+
+@query(f"WITH {_CMS.replace('count(*) AS w FROM ev', 'sum(event_id % 7)::BIGINT AS w FROM ev')} SELECT * FROM cms")
+def cms_weighted(spark, sf_dir):
+    ev = _events(spark, sf_dir).withColumn("w", F.col("event_id") % 7)
+    return approximate.cms_table(ev, width=64, count_col="w")
+
+
+@query("SELECT event_id, ((row_number() OVER (ORDER BY ts, event_id) - 1) // 1000)::BIGINT AS batch FROM events")
+def replay_batches(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "event_id")
+    return approximate.batches(e, 1000, "ts", "event_id").select("event_id", "batch")
+
+
+@query("SELECT (user_id % 30 + 1)::BIGINT AS zone_id, count(*) AS trips FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 12 HOUR GROUP BY ALL")
+def stream_trailing(spark, sf_dir):
+    return monitor.trailing_counts(monitor.event_stream(spark, sf_dir), timedelta(hours=12))
+
+
+@query(f"WITH {DEMAND} SELECT zone_id, sum(trips)::BIGINT AS trips FROM demand GROUP BY ALL ORDER BY trips DESC, zone_id LIMIT 3")
+def zone_totals(spark, sf_dir):
+    return dashboard.zone_totals(demand(spark, sf_dir), 3)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Columns of the stored tables.
 TRIPS = T.StructType([
     T.StructField("pickup_datetime", T.TimestampNTZType(), False),
     T.StructField("dropoff_datetime", T.TimestampNTZType(), False),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -12,12 +14,22 @@ SETTINGS = {
 }
 
 
-def connect(master: str | None = None, app: str = "demandlens", **settings: str) -> SparkSession:
-    """A session with SETTINGS; settings override them (dots written as two underscores)."""
+def connect(master: str | None = None, app: str = "demandlens", store: str | None = None, **settings: str) -> SparkSession:
+    """A session with SETTINGS; settings override them (dots written as two underscores).
+
+    With a store folder, tables and their catalog lie there and outlast the
+    session; one session at a time may use it.  On a cluster with a metastore
+    of its own, leave store out.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    return builder.config(map=SETTINGS | {k.replace("__", "."): v for k, v in settings.items()}).getOrCreate()
+    conf = SETTINGS | {k.replace("__", "."): v for k, v in settings.items()}
+    if store:
+        base = Path(store).resolve()
+        conf |= {"spark.sql.warehouse.dir": str(base / "tables"), "spark.hadoop.javax.jdo.option.ConnectionURL": f"jdbc:derby:;databaseName={base / 'catalog'};create=true", "spark.hadoop.datanucleus.schema.autoCreateAll": "true", "spark.hadoop.hive.metastore.schema.verification": "false"}
+        builder = builder.enableHiveSupport()
+    return builder.config(map=conf).getOrCreate()
 
 
 def use_utc(spark: SparkSession) -> SparkSession:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def raw_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_trips(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return e.select(
+        *keep,
         F.col("ts").alias("pickup_datetime"),
         F.expr("ts + make_dt_interval(0, 0, 0, floor(value * 20))").cast("timestamp_ntz").alias("dropoff_datetime"),
         (F.col("user_id") % 30 + 1).cast("long").alias("pu_location_id"),
@@ -20,6 +21,30 @@ def raw_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dirty_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trips with times as text, of which some break each cleaning rule, chosen by event_id modulo 40."""
+    e = raw_trips(spark, sf_dir, keep=("event_id",))
+    k = F.col("event_id") % 40
+    when = lambda c: F.when(k == 3, F.concat(F.lit("2002"), F.substring(F.col(c).cast("string"), 5, 40))).otherwise(F.col(c).cast("string"))
+    rows = e.select(
+        k.alias("k"),
+        F.when(k == 1, None).when(k == 2, "no time").otherwise(when("pickup_datetime")).alias("pickup_datetime"),
+        when("dropoff_datetime").alias("dropoff_datetime"),
+        F.when(k == 4, None).when(k == 5, F.lit(float("nan"))).when(k == 6, 1.5).otherwise(F.col("pu_location_id").cast("double")).alias("pu_location_id"),
+        "do_location_id",
+        "trip_distance",
+        "fare_amount",
+    )
+    return rows.unionByName(rows.filter("k = 7")).drop("k")
+
+
+def long_demand(spark: SparkSession, sf_dir: str, hours: int = 30_000) -> DataFrame:
+    """Sparse hourly demand of two zones over more than three years."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    hour = F.expr(f"timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(0, cast(event_id * 7919 % {hours} as int))")
+    return e.groupBy(hour.cast("timestamp_ntz").alias("pickup_hour"), (F.col("user_id") % 2 + 1).cast("long").alias("zone_id")).agg(F.count("*").alias("trips"))
+
+
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A 25-row lookup; zones 26 to 30 have no row."""
     n, r = spark.read.parquet(f"{sf_dir}/nation.parquet"), spark.read.parquet(f"{sf_dir}/region.parquet")

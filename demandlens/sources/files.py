@@ -68,6 +68,23 @@ def load_zones(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*(F.col(c).try_cast("long").alias(n) if n == "location_id" else F.col(c).alias(n) for c, n in LOOKUP_COLUMNS.items()), *rest)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """One CSV file with a header, for results small enough to report."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str) -> str:
+    """One CSV file with a header at path, in place of what was there, for results small enough to report."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    parts, place = jvm.org.apache.hadoop.fs.Path(f"{path}.parts"), jvm.org.apache.hadoop.fs.Path(path)
+    df.coalesce(1).write.mode("overwrite").option("header", True).csv(parts.toString())
+    store = parts.getFileSystem(conf)
+    made = store.globStatus(jvm.org.apache.hadoop.fs.Path(parts, "part-*.csv"))
+    store.delete(place, True)
+    if len(made):
+        store.rename(made[0].getPath(), place)
+    else:  # Spark writes no file for a result without partitions
+        store.create(place).close()
+    store.delete(parts, True)
+    return path
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A report that write_csv made; its types are inferred, as it is small."""
+    return spark.read.option("header", True).option("inferSchema", True).csv(path)

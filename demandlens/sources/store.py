@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,20 +33,23 @@ def temporary_view(df: DataFrame, name: str) -> Iterator[str]:
 
 
 def _insert(df: DataFrame, name: str, replace: bool) -> int:
-    schema = TABLES[name]
+    """Writes in one pass over df; the rows are counted as they go by.  An empty df replaces nothing."""
+    spark, schema = df.sparkSession, TABLES[name]
     if required := [f.name for f in schema if not f.nullable and f.name not in df.columns]:
         raise ValueError(f"{name} needs {', '.join(required)}")
+    if replace and df.isEmpty():
+        return 0
+    seen = Observation()
     rows = df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
-    n = rows.count()
-    if n:
-        rows.select(*df.sparkSession.table(name).columns).write.insertInto(name, overwrite=replace)
-    return n
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).select(*spark.table(name).columns).write.insertInto(name, overwrite=replace)
+    return seen.get["n"]
 
 
 def insert_clean_trips(df: DataFrame, replace: bool = False) -> int:
     """Append (or replace all) rows; absent optional columns become null.  An empty frame changes nothing."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
+    spark.conf.set("hive.exec.dynamic.partition.mode", "nonstrict")
     init_schema(spark)
     return _insert(df, "clean_trips", replace)
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import timedelta
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..storage import materialise, remove, scratch
 
 
 def event_stream(spark: SparkSession, sf_dir: str, zones: int = 30, per_trigger: int = 1) -> DataFrame:
@@ -30,63 +29,72 @@ def windowed_counts(stream: DataFrame, width: str = "1 hour", late: str = "10 mi
 
 
 def drain(result: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what its source holds and return the memory table."""
+    """Run a stream over what its source holds and return its result.
+
+    Every batch is written to the shared folder; in complete mode the last one
+    is the result, in append mode all are.
+    """
     spark = result.sparkSession
-    query = result.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    place, last = scratch(spark, name), []
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{place}/batch={batch}")
+        last[:] = [f"{place}/batch={batch}"] if mode == "complete" else [*last, f"{place}/batch={batch}"]
+
+    run(result, keep, mode)
+    return spark.read.schema(result.schema).parquet(*last) if last else spark.createDataFrame([], result.schema)
+
+
+def run(stream: DataFrame, each: Callable[[DataFrame, int], object], mode: str = "append") -> None:
+    """Hand all batches that the stream's source holds to each(rows, number)."""
+
+    def take(rows: DataFrame, batch: int) -> None:
+        each(rows, batch)
+
+    query = stream.writeStream.foreachBatch(take).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    return spark.table(name)
 
 
 def trailing_counts(stream: DataFrame, window: timedelta) -> DataFrame:
-    """zone_id, trips within [latest - window, latest] as first-in first-out eviction leaves them, update mode.
+    """zone_id, trips of the monitor's window once it has taken all that the stream's source holds."""
+    monitor = StreamingMonitor(stream.sparkSession, window)
+    run(stream, monitor.update_batch)
+    return monitor.window_frame()
 
-    The latest time is global, so all events pass one state, as the exact
-    semantics need; it holds the window only.  An event older than the cutoff
-    stays until those ahead of it have left.
-    """
-    width = pd.Timedelta(window)
-
-    def run(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        latest, times, zones = state.get if state.exists else (None, [], [])
-        held = deque(zip(times, zones, strict=True))
-        latest = None if latest is None else pd.Timestamp(latest)
-        for frame in frames:
-            for ts, zone in zip(frame["ts"], frame["zone_id"], strict=True):
-                latest = ts if latest is None or ts > latest else latest
-                held.append((ts.to_pydatetime(), int(zone)))
-                while held and pd.Timestamp(held[0][0]) < latest - width:
-                    held.popleft()
-        state.update((latest.to_pydatetime(), [t for t, _ in held], [z for _, z in held]))
-        counts = pd.Series([z for _, z in held], dtype="int64").value_counts()
-        yield pd.DataFrame({"zone_id": counts.index.astype("int64"), "trips": counts.to_numpy("int64")})
 
-    return stream.groupBy(F.lit(0).alias("k")).applyInPandasWithState(run, "zone_id long, trips long", "latest timestamp, times array<timestamp>, zones array<long>", "update", GroupStateTimeout.NoTimeout)
+HELD = "batch long, ts timestamp, zone_id long, n long"
 
 
 class StreamingMonitor:
     """Counts per zone over micro-batches, cumulative and (with a window) trailing.
 
     update_batch takes a DataFrame (ts, zone_id); it also serves as a
-    foreachBatch function.  Counts are merged by zone, so state has one row a
-    zone; the trailing window keeps the events at most `window` older than the
-    latest, both ends included (for events in order the same as first-in
-    first-out eviction; trailing_counts has that for late ones too).
+    foreachBatch function.  Counts are merged by zone, so the driver holds one
+    number a zone.
+
+    The window leaves first-in first-out: from the head, events older than the
+    latest less `window` are taken off, so a late event stays until those ahead
+    of it have left.  At any moment the window thus begins with the first
+    arrival that is not older than that; no event need be looked at in turn.
+    Events of one batch count as arriving in order of time.  The window's
+    events, counted by batch, time and zone, lie in the shared folder.
     """
 
     def __init__(self, spark: SparkSession, window: timedelta | None = None):
         self.spark, self.window = spark, window
         self._counts: dict[int, int] = {}
-        self._recent: DataFrame | None = None
+        self._held: str | None = None
         self._latest = None
-        self._n = 0
+        self._n = self._batch = 0
 
     def update(self, ts, zone_id: int) -> None:
         self.update_batch(self.spark.createDataFrame([(ts, zone_id)], "ts timestamp, zone_id long"))
 
     def update_batch(self, events: DataFrame, _batch: int | None = None) -> int:
-        rows = events.select("ts", "zone_id").groupBy("zone_id").agg(F.count("*").alias("n"), F.max("ts").alias("t")).collect()
+        """Take a batch; the number of its events."""
+        rows = events.groupBy("zone_id").agg(F.count("*").alias("n"), F.max("ts").alias("t")).collect()
         n = sum(r["n"] for r in rows)
         if not n:
             return 0
@@ -94,22 +102,34 @@ class StreamingMonitor:
             self._counts[r["zone_id"]] = self._counts.get(r["zone_id"], 0) + r["n"]
         top = max(r["t"] for r in rows)
         self._latest = top if self._latest is None else max(self._latest, top)
-        self._n += n
+        self._n, self._batch = self._n + n, self._batch + 1
         if self.window is not None:
-            # Kept as a grid of distinct times, which cuts the lineage.
-            cells = events.groupBy("ts", "zone_id").agg(F.count("*").alias("n"))
-            both = cells if self._recent is None else self._recent.unionByName(cells)
-            kept = both.filter(F.col("ts") >= F.lit(self._latest - self.window)).groupBy("ts", "zone_id").agg(F.sum("n").alias("n"))
-            self._recent = self.spark.createDataFrame(kept.toPandas(), "ts timestamp, zone_id long, n long") if not kept.isEmpty() else None
+            self._roll(events)
         return n
 
+    def _roll(self, events: DataFrame) -> None:
+        cells = events.groupBy(F.col("ts").cast("timestamp").alias("ts"), F.col("zone_id").cast("long").alias("zone_id")).agg(F.count("*").alias("n"))
+        every = self._window().unionByName(cells.withColumn("batch", F.lit(self._batch).cast("long")))
+        place = F.struct("batch", "ts")
+        # The latest event is never too old, so there is a first one.
+        first = F.broadcast(every.filter(F.col("ts") >= F.lit(self._latest - self.window)).agg(F.min(place).alias("first")))
+        old, self._held = self._held, scratch(self.spark, "window")
+        every.join(first, place >= F.col("first")).drop("first").write.parquet(self._held)
+        if old:
+            remove(self.spark, old)
+
+    def _window(self) -> DataFrame:
+        return self.spark.read.schema(HELD).parquet(self._held) if self._held else self.spark.createDataFrame([], HELD)
+
     def counts(self) -> dict[int, int]:
         return dict(self._counts)
 
+    def window_frame(self) -> DataFrame:
+        """zone_id, trips of the window; no rows without one."""
+        return self._window().groupBy("zone_id").agg(F.sum("n").alias("trips"))
+
     def window_counts(self) -> dict[int, int]:
-        if self._recent is None:
-            return {}
-        return {r["zone_id"]: r["n"] for r in self._recent.groupBy("zone_id").agg(F.sum("n").alias("n")).collect()}
+        return {r["zone_id"]: r["trips"] for r in self.window_frame().collect()} if self._held else {}
 
     def top_k(self, k: int = 10, windowed: bool = False) -> list[tuple[int, int, int]]:
         """(rank, zone, count), ties to the smaller zone."""
@@ -126,7 +146,7 @@ class StreamingMonitor:
         return self._latest
 
     def __len__(self) -> int:
-        return len(self._counts)
+        return self._n
 
     def snapshot(self) -> dict:
         return {
@@ -134,15 +154,20 @@ class StreamingMonitor:
             "latest_ts": self._latest.isoformat() if self._latest else None,
             "unique_zones": len(self._counts),
             "window_seconds": self.window.total_seconds() if self.window else None,
-            "window_events": sum(self.window_counts().values()) if self.window else 0,
+            "window_events": sum(self.window_counts().values()),
         }
 
 
 def stream_from_dataframe(events: DataFrame, ts_col: str = "ts", zone_col: str = "zone_id", batch_size: int = 1) -> Iterator[DataFrame]:
-    """Replay a frame in time order, batch_size rows at a time; errors are raised at the first batch."""
+    """Replay a frame in time order, batch_size rows at a time; errors are raised at the first batch.
+
+    The numbered rows are written once, in order of batches, so that a batch
+    reads little more than itself.
+    """
     from ..operators.approximate import batches
 
-    numbered = batches(events, batch_size, ts_col, zone_col)
+    numbered = batches(events, batch_size, ts_col, zone_col).select(ts_col, zone_col, "batch")
+    numbered = materialise(numbered.repartitionByRange("batch").sortWithinPartitions("batch"), "replay")
     last = numbered.agg(F.max("batch")).first()[0]
     for k in range((last if last is not None else -1) + 1):
         yield numbered.filter(F.col("batch") == k).select(F.col(ts_col).cast("timestamp").alias("ts"), F.col(zone_col).alias("zone_id"))

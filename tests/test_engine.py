@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from demandlens.operators import aggregate, anomaly, approximate, clean, forecast, hotspot, mapreduce
+from demandlens.operators import aggregate, analytics, anomaly, approximate, clean, forecast, hotspot, mapreduce
 from demandlens.sources import files, store
 from demandlens.streaming.monitor import StreamingMonitor, stream_from_dataframe
 
@@ -137,7 +137,7 @@ def test_monitor(spark):
     chunks = list(stream_from_dataframe(events, batch_size=4))
     assert [m.update_batch(c) for c in chunks] == [4, 2]
     assert m.window_counts() == {2: 1} and m.counts() == {1: 5, 2: 1}
-    assert m.top_k(1) == [(1, 1, 5)] and m.ingested == 6 and len(m) == 2
+    assert m.top_k(1) == [(1, 1, 5)] and m.ingested == len(m) == 6
     m.update(T0, 3)
     assert m.latest_ts == T0 + timedelta(minutes=30) and m.counts()[3] == 1
     with pytest.raises(ValueError):
@@ -146,6 +146,188 @@ def test_monitor(spark):
         next(stream_from_dataframe(events, ts_col="no"))
 
 
+def test_monitor_lets_late_events_leave_first_in_first_out(spark):
+    """Against a queue that is looked at event by event."""
+    import random
+    from collections import Counter, deque
+
+    rng = random.Random(3)
+    m, queue, latest = StreamingMonitor(spark, timedelta(minutes=10)), deque(), None
+    for step in range(8):
+        batch = sorted((T0 + timedelta(minutes=step * 4 + rng.randint(-25, 5)), rng.randint(1, 3)) for _ in range(rng.choice([0, 1, 2, 12])))
+        for ts, zone in batch:
+            latest = ts if latest is None else max(latest, ts)
+            queue.append((ts, zone))
+            while queue[0][0] < latest - timedelta(minutes=10):
+                queue.popleft()
+        assert m.update_batch(spark.createDataFrame(batch, "ts timestamp, zone_id long")) == len(batch)
+        assert m.window_counts() == dict(Counter(z for _, z in queue))
+    shot = m.snapshot()
+    assert shot["window_events"] == len(queue) and shot["window_seconds"] == 600 and shot["unique_zones"] == len(m.counts())
+    assert shot["ingested"] == len(m) and shot["latest_ts"] == latest.isoformat()
+    assert m.top_k(2, windowed=True) == [(k, z, n) for k, (z, n) in enumerate(sorted(Counter(z for _, z in queue).items(), key=lambda x: (-x[1], x[0]))[:2], 1)]
+    empty = StreamingMonitor(spark)
+    assert empty.window_counts() == {} and len(empty) == 0 and empty.snapshot()["latest_ts"] is None
+
+
+def test_streams_of_several_files(spark, tmp_path):
+    from demandlens.streaming import monitor
+
+    for k in range(3):
+        rows = [(T0 + timedelta(minutes=20 * k + j), j % 2 + 1) for j in range(10)] + [(T0 - timedelta(hours=1), 9)] * (k == 1)
+        spark.createDataFrame(rows, "ts timestamp, zone_id long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    read = lambda: spark.readStream.schema("ts timestamp, zone_id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {r["zone_id"]: r["trips"] for r in monitor.drain(monitor.cumulative_counts(read()), "counts").collect()}
+    assert got == {1: 15, 2: 15, 9: 1}
+    assert {r["zone_id"]: r["trips"] for r in monitor.trailing_counts(read(), timedelta(days=2)).collect()} == got
+    (tmp_path / "none").mkdir()
+    nothing = spark.readStream.schema("ts timestamp, zone_id long").parquet(str(tmp_path / "none"))
+    assert monitor.drain(monitor.cumulative_counts(nothing), "nothing").count() == 0
+
+
+def test_utilities(tmp_path):
+    import logging
+    import random
+
+    import numpy as np
+
+    from demandlens import utils
+
+    log = utils.get_logger("a.b", logging.WARNING)
+    assert utils.get_logger("a.b") is log and len(log.handlers) == 1 and not log.propagate
+    assert utils.set_seed() == utils.DEFAULT_SEED
+    one = random.random(), np.random.rand()
+    assert utils.set_seed(42) == 42 and (random.random(), np.random.rand()) == one
+    assert utils.ensure_dir(tmp_path / "a" / "b").is_dir() and utils.ensure_dir(tmp_path / "a") == tmp_path / "a"
+    assert (utils.PROJECT_ROOT / "demandlens").is_dir() and utils.RAW_DIR.parent == utils.DATA_DIR
+
+
+def test_downloads(tmp_path, monkeypatch):
+    import io
+    import urllib.request
+
+    asked = []
+    monkeypatch.setattr(urllib.request, "urlopen", lambda url, timeout: asked.append(url) or io.BytesIO(url.encode()))
+    got = files.download_months([(2024, 1), (2023, 12)], tmp_path / "raw")
+    assert [p.name for p in got] == ["yellow_tripdata_2024-01.parquet", "yellow_tripdata_2023-12.parquet"]
+    assert got[0].read_bytes() == files.trip_url(2024, 1).encode()
+    files.download_months([(2024, 1)], tmp_path / "raw")
+    assert len(asked) == 2 and files.download_lookup(tmp_path / "raw").name == "taxi_zone_lookup.csv"
+    files.download_lookup(tmp_path / "raw", overwrite=True)
+    assert len(asked) == 4
+
+
+def test_csv_reports(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a,b"), (2, None)], "k int, name string")
+    for _ in range(2):
+        files.write_csv(df.orderBy("k"), str(tmp_path / "r.csv"))
+    assert (tmp_path / "r.csv").read_text().splitlines()[:2] == ["k,name", '1,"a,b"']
+    assert files.read_csv(spark, str(tmp_path / "r.csv")).count() == 2
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["r.csv"]
+
+
+def test_times_that_are_none(spark):
+    rows = [("2024-01-01 00:00:00", "2024-01-01 00:10:00", 1, 2), ("no time", "2024-01-01 00:10:00", 1, 2), ("2024-01-01 00:00:00", "2024-13-01", 1, 2), (None, None, 1, 2)]
+    df = spark.createDataFrame(rows, "pickup_datetime string, dropoff_datetime string, pu_location_id long, do_location_id long")
+    r = clean.cleaning_report(df).first()
+    assert (r["dropped_bad_datetime"], r["dropped_missing_required"], r["output_rows"]) == (2, 1, 1)
+
+
+def test_segments_need_the_exact_borough(spark):
+    trips = clean.clean_trips(raw(spark, [trip(k, pu=float(k + 1)) for k in range(5)])).withColumn("total_amount", F.lit(1.0))
+    names = [(1, "Manhattan", "Alphabet City"), (2, "manhattan", "Nowhere"), (3, "Queens", "JFK Airport"), (4, "Queens", "La Guardia"), (6, None, None)]
+    zones = spark.createDataFrame([(*n, "s") for n in names], "location_id long, borough string, zone string, service_zone string")
+    got = {r["segment"]: r["trips"] for r in analytics.airport_vs_manhattan(trips, zones).collect()}
+    assert got == {"manhattan": 1, "other": 2, "airport": 2}
+
+
+def test_robust_baseline_of_even_and_odd_buckets(spark):
+    import numpy as np
+
+    values = {8: [3, 9, 4, 100], 9: [5], 10: [1, 2, 7]}
+    rows = [(T0 + timedelta(hours=h, weeks=w), 1, v) for h, x in values.items() for w, v in enumerate(x)]
+    for r in anomaly.fit_robust_baseline(spark.createDataFrame(rows, "pickup_hour timestamp_ntz, zone_id long, trips long")).collect():
+        x = np.array(values[r["hour_of_week"]])
+        assert (r["median"], r["mad"], r["n"]) == (np.median(x), np.median(abs(x - np.median(x))), len(x))
+
+
+def test_benchmarks(spark):
+    from demandlens import benchmarking
+
+    one = benchmarking.benchmark_callable("range", lambda: spark.range(1000), repeats=2, warmup=0)
+    assert one.name == "range" and one.rows == 1000 and one.seconds > 0 and one.peak_bytes > 0
+    many = benchmarking.benchmark_many({"a": lambda: spark.range(5), "b": lambda: spark.range(7)}, repeats=1)
+    assert sorted(many["rows"]) == [5, 7] and many["seconds"].is_monotonic_increasing
+    assert set(benchmarking.benchmark_forecast_methods(demand(spark, 30), holdout_hours=5)["name"]) == set(forecast.METHODS)
+
+
+def test_dashboard(spark, tmp_path):
+    import xml.etree.ElementTree as ET
+
+    from demandlens.operators import dashboard
+
+    d = demand(spark, 200, (T0 + timedelta(hours=150), 2, 900))
+    found = anomaly.detect_anomalies(d, anomaly.fit_baseline(d), 0.5, 0.1)
+    for name, how in (("a.svg", {}), ("b.svg", {"anomalies": found, "forecast": forecast.seasonal_naive_forecast(d)})):
+        path = dashboard.build_dashboard(d, str(tmp_path / name), **how)
+        drawing = ET.parse(path).getroot()
+        assert len(list(drawing.iter("{http://www.w3.org/2000/svg}polyline"))) >= 2 and len(list(drawing.iter("{http://www.w3.org/2000/svg}rect"))) >= 2
+
+
+def test_command_line(spark, tmp_path):
+    from demandlens import cli
+
+    with pytest.raises(SystemExit):
+        cli.main(["pipeline", "--months", "2024-13"])
+    with pytest.raises(SystemExit, match="missing"):
+        cli.main(["pipeline", "--months", "2024-01", "--raw-dir", str(tmp_path)], spark)
+    places = ["--raw-dir", str(tmp_path), "--out-dir", str(tmp_path / "out")]
+    with pytest.raises(SystemExit, match="no trip files"):
+        cli.main(["parallel", *places], spark)
+    import pandas as pd
+
+    rows = [trip(37 * k, pu=float(k % 3 + 1), do=k % 4 + 1, fare=5.0 + k % 2) for k in range(1500)] + [trip(0, seconds=1)]
+    table = pd.DataFrame(rows, columns=["tpep_pickup_datetime", "tpep_dropoff_datetime", "PULocationID", "DOLocationID", "trip_distance", "fare_amount"]).assign(total_amount=9.0, passenger_count=1)
+    table.astype({c: "datetime64[us]" for c in table.columns[:2]}).to_parquet(tmp_path / "yellow_tripdata_2024-01.parquet")
+    (tmp_path / "taxi_zone_lookup.csv").write_text("LocationID,Borough,Zone,service_zone\n1,Manhattan,A,Y\n2,Queens,JFK Airport,Y\n")
+    run = lambda *a: cli.main([*a, *places], spark)
+    try:
+        run("pipeline", "--months", "2024-01")
+        assert store.count_rows(spark, "clean_trips") == 1500 and store.count_rows(spark, "zone_lookup") == 2
+        run("pipeline", "--append")
+        assert store.count_rows(spark, "clean_trips") == 3000
+        run("pipeline")
+        for command in (["hotspots", "--k", "2"], ["anomalies", "--baseline-end", "2024-01-20", "--threshold", "0.1"], ["anomalies", "--baseline-end", "1990-01-01"], ["stream", "--batch-size", "700"], ["sketches", "--reservoir-size", "100"], ["parallel", "--workers", "1", "2"], ["forecast"], ["consensus"], ["business"], ["benchmark"], ["dashboard"], ["figures"]):
+            run(*command)
+        made = {p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")}
+        assert made >= {"experiment_1_overall.csv", "experiment_1_per_hour.csv", "experiment_2_baseline.csv", "experiment_2_anomalies.csv", "experiment_3_summary.csv", "experiment_4_summary.csv", "experiment_4_topk_count_min.csv", "experiment_5_parallel.csv", "experiment_6_forecast.csv", "experiment_7_advanced_anomaly.csv", "top_od_pairs.csv", "benchmark_results.csv", "dashboard.svg", "top_zones.svg"}
+        summary = dict(pd.read_csv(tmp_path / "out" / "experiment_3_summary.csv").itertuples(index=False))
+        assert summary["events"] == 1500 and summary["cmp_overlap"] == 3 and summary["cmp_jaccard"] == 1
+        assert pd.read_csv(tmp_path / "out" / "experiment_1_overall.csv")["zone_name"].tolist() == ["A", "JFK Airport"]
+    finally:
+        store.drop_all(spark)
+
+
+def test_queries_against_sql(spark):
+    """Every query that has SQL, on the smallest tables."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for name in ("events", "nation", "region"):
+        con.sql(f"CREATE VIEW {name} AS FROM '{sf}/{name}.parquet'")
+    from demandlens.plans import queries as plans
+
+    assert set(plans.SQL) <= set(entry.oracle_sql()) and set(plans.QUERIES) == set(plans.SQL)
+    for name in ("dirty_report", "load_trips", "load_zones", "stored_trips", "reservoir_topk", "cms_merged", "cms_weighted", "replay_batches", "stream_trailing", "horizon_ewm_24", "horizon_ma_168", "horizon_seasonal_168", "hourly_panel_sparse", "ewm_long", "monitor_window", "segment_by_day", "zone_totals", "robust_z", "backtest"):
+        want = con.sql(plans.SQL[name])
+        got = plans.QUERIES[name](spark, sf).select(*want.columns).collect()
+        rows = lambda t: sorted((tuple(round(x, 5) if isinstance(x, float) else x for x in r) for r in t), key=repr)
+        assert rows(got) == rows(want.fetchall()), name
+
+
 def test_map_reduce_counts_duplicates_per_file(spark, tmp_path):
     for k in range(2):
         raw(spark, [trip(), trip(), trip(k + 1, pu=4.0)]).coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
