@@ -1,38 +1,17 @@
-"""Shared helpers: scratch tables in the shared folder, prefix sums, ids."""
+"""Shared helpers: words, prefix sums, and tables in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Words are runs of characters other than ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-#: ASCII white space, as characters.
-SPACES = " \t\n\x0b\x0c\r"
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir, which driver and executors share.
+from ..storage import materialise, scratch
 
-    Where the setting is absent (local tests) a temporary folder takes its
-    place for the life of the session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="demandlens-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/demandlens/{name}-{uuid.uuid4().hex}"
+__all__ = ["WORD", "checked_broadcast", "materialise", "n_words", "running_totals", "scratch"]
 
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back, which cuts its lineage."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Words are runs of characters other than ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def running_totals(df: DataFrame, keys: list[str], bucket: str, order: list[str], values: dict[str, str]) -> DataFrame:
@@ -61,11 +40,6 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def hash_bucket(key: Column, rows: int, per: int = 512) -> Column:
-    """A bucket number of a row, so that a bucket has about `per` of `rows` rows."""
-    return F.pmod(F.xxhash64(key), F.lit(max(1, rows // per)))
-
-
 def checked_broadcast(df: DataFrame, rows: int, most: int = 10_000) -> DataFrame:
     """df, marked for broadcast if its known number of narrow rows is small."""
     return F.broadcast(df) if rows <= most else df
