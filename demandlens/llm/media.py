@@ -1,13 +1,15 @@
 """Media columns: GIF streams, their decoder and colour-histogram columns.
 
-`encode` stores bytes as the palette indices of a GIF89a animation; `decode`
-reads any GIF: it unpacks the LZW codes, applies global or local palettes,
+`encode` stores bytes as the palette indices of a GIF89a animation, in LZW
+codes of the longest strings known; `decode` reads any GIF: it unpacks and
+expands the codes, applies global or local palettes,
 interlacing, transparency and the disposal methods, and yields each frame's
 indices, canvas and time.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import zlib
@@ -26,143 +28,154 @@ DELAY = 10
 _GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
 
 
-def _lzw_codes(data: bytes) -> list[int]:
-    """Codes of 8-bit LZW; the table is cleared when it has 4096 entries."""
-    codes = [256]
+#: Codes have at most this many bits.
+MOST_BITS = 12
+
+
+def _lzw_codes(data: bytes) -> np.ndarray:
+    """Codes of 8-bit LZW with longest known strings; the table is cleared when it is full."""
+    # Codes stand 256 times larger, so that one and an index make a key by a single operation.
+    first, end = 258 << 8, 4096 << 8
+    codes = [256 << 8]
     emit = codes.append
     table: dict[int, int] = {}
-    get, size, w = table.get, 258, data[0]
+    get, size, w = table.get, first, data[0] << 8
     for b in data[1:]:
-        key = w << 8 | b
+        key = w | b
         c = get(key)
-        if c is None:
-            emit(w)
-            w = b
-            if size < 4096:
-                table[key] = size
-                size += 1
-            else:
-                emit(256)
-                table.clear()
-                size = 258
-        else:
+        if c:
             w = c
+            continue
+        emit(w)
+        w = b << 8
+        table[key] = size
+        size += 256
+        if size > end:
+            emit(256 << 8)
+            table.clear()
+            size = first
     emit(w)
-    emit(257)
-    return codes
+    emit(257 << 8)
+    return np.array(codes, np.int64) >> 8
 
 
-#: Bits of the k-th code after a clear code of 8-bit LZW.
-_WIDTHS = np.array([max(9, (257 + max(k - 1, 0)).bit_length()) for k in range(1, 3840)] + [12] * 4, np.int64)
-
-
-def _bits(codes: list[int]) -> bytes:
-    """LZW codes as a bit stream, low bits first."""
-    code = np.array(codes, np.int64)
-    clears = np.flatnonzero(code == 256)
-    spans = np.diff(np.append(clears, len(code) - 1))
-    width = np.concatenate([[9], *(_WIDTHS[:n] for n in spans.tolist())])
-    at = np.cumsum(width) - width
-    bits = (code[:, None] >> np.arange(12) & 1).astype(np.uint8)
-    return np.packbits(bits[np.arange(12) < width[:, None]], bitorder="little").tobytes()
-
+def _widths(min_bits: int) -> np.ndarray:
+    """Bits of the k-th code after a clear code, as long as the table grows."""
+    end = (1 << min_bits) + 1
+    return np.array([min(MOST_BITS, max(min_bits + 1, (end + max(k - 1, 0)).bit_length())) for k in range(1, 4097 - end)], np.int64)
 
-#: Literal codes between clear codes in plain streams: so few that all codes have nine bits.
-_RUN = 254
-_NINE = (1 << np.arange(9)).astype(np.uint16)
 
+_EIGHT = np.append(_widths(8), np.full(8, MOST_BITS))
 
-def lzw_encode(data: bytes, search: bool = False) -> bytes:
-    """An LZW stream of 8-bit indices.
 
-    By default it holds literal codes and regular clear codes, which numpy
-    packs at once; search=True looks for the longest known strings, which in
-    Python takes some forty times as long.
+def lzw_encode(data: bytes) -> bytes:
+    """An LZW stream of 8-bit indices, its codes as a bit stream, low bits first."""
+    code = _lzw_codes(data)
+    clears = np.flatnonzero(code == 256)
+    spans = np.diff(np.append(clears, len(code) - 1))
+    width = np.concatenate([[9], *(_EIGHT[:n] for n in spans.tolist())])
+    ends = np.cumsum(width)
+    at = ends - width
+    # A code lies in three bytes at most, and no two codes share a bit.
+    parts, size = code << (at & 7), int(ends[-1] + 7 >> 3)
+    out = sum(np.bincount((at >> 3) + k, parts >> 8 * k & 255, size + 2) for k in range(3))
+    return out[:size].astype(np.uint8).tobytes()
+
+
+def _grown(codes: np.ndarray, clear: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """What codes stand for from a clear code until the table is full, and whether all are sound.
+
+    Gives up to `most` indices and, of each code, where its string begins and
+    how long it is.  The k-th code adds the string of the code before it, and
+    one index more, to the table.  So entry j is the output from where code j
+    begins, one index longer than code j, and a code that names it copies from
+    there.  Lengths follow from chains of such codes, indices from chains of
+    copies; both are found by pointer doubling.
     """
-    if search:
-        return _bits(_lzw_codes(data))
-    n = len(data)
-    codes = np.full((-(-n // _RUN), _RUN + 1), 256, np.uint16)
-    flat = np.frombuffer(data.ljust(len(codes) * _RUN, b"\0"), np.uint8)
-    codes[:, 1:] = flat.reshape(-1, _RUN)
-    codes = np.append(codes.ravel()[: n + len(codes)], np.uint16(257))
-    return np.packbits((codes[:, None] >> np.arange(9, dtype=np.uint16) & 1).astype(np.uint8), bitorder="little").tobytes()
-
-
-def _plain(stream: bytes, most: int) -> bytes | None:
-    """Indices of a stream of the plain form; None if it has another form."""
-    n = len(stream) * 8 // 9
-    codes = np.unpackbits(np.frombuffer(stream, np.uint8), count=n * 9, bitorder="little").reshape(-1, 9) @ _NINE
-    end = np.flatnonzero(codes == 257)
-    if not len(end):
-        return None
-    codes = codes[: end[0]]
-    if len(codes) > 1 and (codes[:: _RUN + 1] == 256).all() and np.count_nonzero(codes >= 256) == -(-len(codes) // (_RUN + 1)):
-        return codes[codes < 256].astype(np.uint8).tobytes()[:most]
-    return None
-
-
-#: Widths and places of codes after a full table.
-_TWELVE = np.full(4096, 12)
-_TWELVE_AT = np.cumsum(_TWELVE) - 12
+    entry = codes - (clear + 2)
+    named = np.arange(len(codes), dtype=np.int32)
+    literal = codes < clear
+    wrong = np.flatnonzero(~literal & (entry >= named))
+    sound = not len(wrong)
+    if not sound:
+        codes, literal, entry, named = (x[: wrong[0]] for x in (codes, literal, entry, named))
+    named = np.where(literal, named, entry)
+    length, at = (~literal).astype(np.int32), named
+    while (more := length[at]).any():
+        length, at = length + more, at[at]
+    length += 1
+    ends = np.cumsum(length, dtype=np.int32)
+    use = int(np.searchsorted(ends, most)) + 1
+    begins = (ends - length)[:use]
+    source = np.arange(ends[use - 1] if use <= len(ends) else ends[-1] if len(ends) else 0, dtype=np.int32)
+    source -= np.repeat(begins - begins[named[:use]], length[:use])
+    while ((more := source[source]) != source).any():
+        source = more
+    first = np.zeros(len(source), np.uint8)
+    roots = begins[literal[:use]]
+    first[roots] = codes[:use][literal[:use]]
+    return first[source][:most], begins, length, sound
+
+
+@functools.lru_cache(16)
+def _layout(min_bits: int, full: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the codes that are unpacked at once: first bit, bit after the last, mask; `full` from when the table is full."""
+    widths = np.full(4096, MOST_BITS) if full else np.append(_widths(min_bits), np.full(8, MOST_BITS))
+    ends = np.cumsum(widths)
+    return (ends - widths).astype(np.int32), ends.astype(np.int32), ((1 << widths) - 1).astype(np.uint32)
 
 
 def lzw_decode(stream: bytes, min_bits: int, most: int) -> bytes:
     """Up to `most` indices of an LZW stream; a cut or faulty stream gives what it holds.
 
     Between clear codes, the width of the n-th code depends on n alone, so
-    codes are unpacked many at once.
+    codes are unpacked many at once.  With a full table they go on at twelve
+    bits until the clear code that the encoder puts off; their strings are
+    copied from what filled the table, 4096 codes at a time.
     """
+    if not 1 <= min_bits <= 8:
+        return b""
     clear, end = 1 << min_bits, (1 << min_bits) + 1
-    if min_bits == 8 and (plain := _plain(stream, most)) is not None:
-        return plain
     raw = np.frombuffer(stream + b"\0\0\0\0", np.uint8).astype(np.uint32)
-    limit = len(stream) * 8
-    n = 4096 - end
-    # The decoder's table has end + k entries before the k-th code (k from 1) after a clear.
-    widths = np.minimum(12, np.array([max(min_bits + 1, (end + max(k - 1, 0)).bit_length()) for k in range(1, n + 1)], np.int64))
-    widths = np.append(widths, np.full(4096, 12))
-    begins = np.cumsum(widths) - widths
-    out: list[bytes] = []
-    done = bit = 0
-    kept: tuple[list[bytes], bytes] | None = None
-    literal = [bytes([k]) for k in range(min(256, clear))] + [b""] * (end + 1 - min(256, clear))
+    limit, done, bit = len(stream) * 8, 0, 0
+    out: list[np.ndarray] = []
+    table: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
     while bit < limit and done < most:
-        # With a full table, codes go on at twelve bits until the clear that the encoder puts off.
-        sizes, starts = (widths, begins) if kept is None else (_TWELVE, _TWELVE_AT)
-        at = bit + starts
-        use = int(np.searchsorted(at + sizes, limit, "right"))
+        starts, ends, masks = _layout(min_bits, table is not None)
+        use = int(np.searchsorted(ends, limit - bit, "right"))
         if not use:
             break
-        at, w = at[:use], sizes[:use]
+        at = starts[:use] + (bit & 7)
+        here = raw[bit >> 3 : (bit >> 3) + (int(at[-1]) >> 3) + 3]
         k = at >> 3
-        codes = ((raw[k] | raw[k + 1] << 8 | raw[k + 2] << 16) >> (at & 7).astype(np.uint32)) & ((1 << w) - 1).astype(np.uint32)
-        stop = np.flatnonzero((codes == clear) | (codes == end))
-        last = int(stop[0]) if len(stop) else use
-        table, before = kept or (literal.copy(), b"")
-        add, put, known = table.append, out.append, len(table)
-        for code in codes[:last].tolist():
-            if code < known:
-                entry = table[code]
-            elif code == known:
-                entry = before + before[:1]
-            else:
-                break
-            put(entry)
-            if before and known < 4096:
-                add(before + entry[:1])
-            before = entry
-            done += len(entry)
-            known = len(table)
+        codes = ((here[k] | here[k + 1] << 8 | here[k + 2] << 16) >> (at & 7).astype(np.uint32) & masks[:use]).astype(np.int32)
+        stop = np.flatnonzero((codes & -2) == clear)  # the clear code or the end
+        n = int(stop[0]) if len(stop) else use
+        bit += int(ends[min(n, use - 1)])
+        sound = True
+        if n and table is None:
+            part, begins, length, sound = _grown(codes[:n], clear, most - done)
+            if not len(stop):  # strings of the literals, two places that no code names, those of the entries
+                pool = np.concatenate([np.arange(clear, dtype=np.uint8), part])
+                table = pool, np.concatenate([np.arange(clear), [0, 0], clear + begins]), np.concatenate([np.ones(clear + 2, np.int64), length[: len(begins)] + 1])
+        elif n:
+            pool, begins, length = table
+            size = length[codes[:n]]
+            ends = np.cumsum(size)
+            enough = int(np.searchsorted(ends, most - done)) + 1
+            size, ends = size[:enough], ends[:enough]
+            part = pool[np.arange(ends[-1]) - np.repeat(ends - size - begins[codes[: len(size)]], size)][: most - done]
         else:
-            if not len(stop):
-                bit, kept = int(at[-1] + w[-1]), (table, before)
-                continue
-            if codes[last] == clear:
-                bit, kept = int(at[last] + w[last]), None
-                continue
-        break
-    return b"".join(out)[:most]
+            part = np.zeros(0, np.uint8)
+        out.append(part)
+        done += len(part)
+        if not sound:
+            break
+        if len(stop):
+            if codes[stop[0]] == end:
+                break
+            table = None
+    return b"".join(x.tobytes() for x in out)
 
 
 def _chunks(data: bytes) -> bytes:
@@ -173,7 +186,7 @@ def _chunks(data: bytes) -> bytes:
     return bytes(out + b"\0")
 
 
-def encode(samples: bytes, width: int = WIDTH, height: int = HEIGHT, delay: int = DELAY, search: bool = False) -> bytes:
+def encode(samples: bytes, width: int = WIDTH, height: int = HEIGHT, delay: int = DELAY) -> bytes:
     """A GIF whose frames hold the samples in order, `width * height` to a frame, the last one lower.
 
     The samples' number must be a positive multiple of width.
@@ -185,7 +198,7 @@ def encode(samples: bytes, width: int = WIDTH, height: int = HEIGHT, delay: int
     for k in range(0, rows, height):
         part = samples[k * width : (k + height) * width]
         out += b"\x21\xf9\x04\x04" + struct.pack("<H", delay) + b"\0\0"
-        out += b"\x2c" + struct.pack("<HHHHB", 0, 0, width, len(part) // width, 0) + b"\x08" + _chunks(lzw_encode(part, search))
+        out += b"\x2c" + struct.pack("<HHHHB", 0, 0, width, len(part) // width, 0) + b"\x08" + _chunks(lzw_encode(part))
     return bytes(out + b"\x3b")
 
 
@@ -280,16 +293,6 @@ def decode(media: bytes, canvas: bool = True) -> Iterator[Frame]:
         delay, transparent, disposal = 0, None, 0
 
 
-def histogram(frame: Frame) -> list[int]:
-    """Pixels of a frame in 16 classes of luminance of their palette colours; transparent ones are left out."""
-    counts = np.bincount(np.frombuffer(frame.indices, np.uint8), minlength=256)
-    if frame.transparent is not None:
-        counts[frame.transparent] = 0
-    counts = counts[: len(frame.palette)]
-    luma = (frame.palette[: len(counts)].astype(np.int64) @ np.array([299, 587, 114])) // 1000
-    return np.bincount(luma >> 4, counts, 16).astype(np.int64).tolist()
-
-
 def colours(canvas: np.ndarray) -> list[int]:
     """Opaque pixels of a shown frame in 16 classes of red, then of green, then of blue."""
     shown = canvas[canvas[..., 3] > 0]
