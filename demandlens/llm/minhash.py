@@ -4,27 +4,34 @@ A text's set holds its distinct runs of `shingle` words (ASCII-lower-cased; a
 shorter text is one shingle).  Equal sets are folded into one class first, so
 groups of copies cost one row each later on.  Minima under BANDS * ROWS hash
 functions make band keys; of each minimum the low two bits are packed into
-longs.  Work on the classes:
+longs.  Classes have ids of their own, so documents without an id, and texts
+that share one, are told apart; document ids come in again at the end.  Work
+on the classes:
 
 1. Every band bucket of two classes or more elects a hub, its smallest id;
    (class, hub) edges, without regard to similarity, join into coarse blocks.
    Classes that share a bucket share the hub, hence the block.
-2. Each class is compared on full sets with the HUBS hubs that it shares most
-   bands with.  Links found make provisional components.  In a group of near
+2. Each class is compared with the HUBS hubs that it shares most bands with:
+   by the collision-corrected estimate from the bit counts, and on full sets
+   where that is near enough.  Links found make provisional components.  In a group of near
    copies nearly all meet here, at a cost linear in the group.
 3. Within a block, classes outside its main component meet those of any other
    component with which they share one of their rarest shingles, early enough
-   for a link (`_apart`).  Of these, pairs whose collision-corrected bit-count
-   estimate is at least `screen` are compared on full sets.  So no link is lost
+   for a link (`_apart`), again by the estimate and then on full sets.  So no link is lost
    to step 2's choice of hubs, nothing is capped, and members of one component
    are never paired.
 
-A pair of similarity exactly 0.8 shares no band with probability 3e-7, and is
-screened out with less (five deviations).
+A pair of similarity exactly 0.8 shares no band with probability 3e-7, and its
+estimate is too low (by six deviations) with less.  Lower similarities than
+0.78 or so would need more bands and are refused.  Joins whose one side has
+many rows for a hub carry single rows of the other side, and skewed partitions
+of them are split by adaptive execution.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -81,12 +88,14 @@ def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.int64), bits.view(np.int64)
 
 
+SIGNED = "doc_id long, text_hash long, n_shingles long, low long, high long, keys array<long>, bits array<long>"
+
+
 def _signed(shingle: int):
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
             n, low, high, keys, bits = [], [], [], [], []
-            for text in texts:
+            for text in batch.column(2):
                 s = shingle_set(text.as_py(), shingle)
                 n.append(len(s))
                 if len(s):
@@ -99,7 +108,8 @@ def _signed(shingle: int):
                 else:
                     low.append(None), high.append(None), keys.append(None), bits.append(None)
             t = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(keys, t), pa.array(bits, t)], ["doc_id", "n_shingles", "low", "high", "keys", "bits"])
+            made = [pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(keys, t), pa.array(bits, t)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], [c.split()[0] for c in SIGNED.split(", ")])
 
     return run
 
@@ -123,6 +133,22 @@ def estimate(a: list[Column], b: list[Column]) -> Column:
     return (1 - differ / F.lit(PERMS) - 0.25) / 0.75
 
 
+def least_estimate(percent: int) -> float:
+    """Six deviations below `percent`: what the estimate of a pair that is to be linked hardly ever falls short of."""
+    s = percent / 100
+    if not 0 < s <= 1 or (1 - s**ROWS) ** BANDS > 1e-5:
+        raise ValueError(f"pairs of {percent} percent may share no band")
+    hit = 0.25 + 0.75 * s
+    return s - 6 * math.sqrt(hit * (1 - hit) / PERMS) / 0.75
+
+
+def _screened(pairs: DataFrame, bits: DataFrame, least: float) -> DataFrame:
+    """Of pairs (a, b), those whose estimate is at least `least`."""
+    both = pairs.select("a", "b").join(bits.select(F.col("id").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("id").alias("b"), F.col("bits").alias("y")), "b")
+    close = estimate([F.col("x")[k] for k in range(LANES)], [F.col("y")[k] for k in range(LANES)]) >= least
+    return both.filter(close).select("a", "b")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every id on an edge (a, b): the smallest id it reaches.
 
@@ -182,52 +208,59 @@ def _apart(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return one.join(two, both & enough).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, screen: float = 0.66) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Links are pairs with 100 * |A & B| >= percent * |A | B|; component_id is
     the smallest id reachable.  Null, empty and blank texts have no set and
-    link with nothing.  Rows with a null id come out with their class's
-    smallest id (null if it has none).  Rows that repeat an id count as one
-    document.  Other columns are ignored.
+    link with nothing.  Every row counts for itself: rows that share an id but
+    not the text may lie in different components, and rows alike in both come
+    out alike.  Rows without an id come out with the smallest id reachable,
+    null (and kept) where there is none.  Other columns are not read.
     """
-    signed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialise(signed.mapInArrow(_signed(shingle), "doc_id long, n_shingles long, low long, high long, keys array<long>, bits array<long>"), "signatures")
-    classes = signed.filter("n_shingles > 0").groupBy("n_shingles", "low", "high").agg(F.min("doc_id").alias("id")).filter("id is not null")
-    classes = materialise(classes, "classes")
-    heads = signed.withColumnRenamed("doc_id", "id").join(classes, ["id", "n_shingles", "low", "high"]).dropDuplicates(["id"])
-    heads = materialise(heads.select("id", "n_shingles", "keys", "bits"), "heads")
+    least = least_estimate(percent)
+    text = F.col(text_col)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    signed = materialise(docs.mapInArrow(_signed(shingle), SIGNED), "signatures")
+    # A class is known by its set; its head is the row of it with the largest id, and that row's text.
+    same = ["n_shingles", "low", "high"]
+    head = F.max_by("text_hash", F.coalesce("doc_id", F.lit(-(2**63))))
+    classes = signed.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last"), head.alias("text_hash"))
+    classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    on = [*(signed[c] == classes[c] for c in [*same, "text_hash"]), signed["doc_id"].eqNullSafe(classes["last"])]
+    heads = signed.join(classes, on).select("id", "keys", "bits").dropDuplicates(["id"])
+    heads = materialise(heads, "heads")
+    bits = heads.select("id", "bits")
 
     banded = heads.select("id", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub")
     stars = banded.join(shared, "key").filter("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("bands"))
     stars = materialise(stars, "stars").select(F.col("id").alias("a"), F.col("hub").alias("b"), "bands")
     blocks = components(stars)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(blocks.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    sets = materialise(texts.mapInArrow(_sets(shingle), "id long, set array<long>"), "sets")
-
     nearest = W.partitionBy("a").orderBy(F.desc("bands"), "b")
-    links = _confirmed(stars.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= HUBS), sets, percent)
-    links = materialise(links, "links")
+    near = stars.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= HUBS)
+    near = materialise(_screened(near, bits, least), "near")
+
+    wanted = blocks.select("id").join(classes, "id").select("id", "last", F.col("text_hash").alias("hash"))
+    texts = docs.join(wanted, (docs["text_hash"] == wanted["hash"]) & docs["doc_id"].eqNullSafe(wanted["last"])).select("id", "text").dropDuplicates(["id"])
+    sets = materialise(texts.mapInArrow(_sets(shingle), "id long, set array<long>"), "sets")
+    links = materialise(_confirmed(near, sets, percent), "links")
     first = components(links)
 
     member = blocks.withColumnRenamed("root", "block").join(first, "id", "left").select("id", "block", F.coalesce("root", "id").alias("root"))
     member = materialise(member, "members")
     sizes = member.groupBy("block", "root").agg(F.count("*").alias("n"))
     main = sizes.groupBy("block").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("block", "main")
-    pairs = _apart(member.join(main, "block"), sets, percent)
-    bits = heads.select("id", "bits")
-    pairs = pairs.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("id").alias("b"), F.col("bits").alias("y")), "b")
-    lanes = range(LANES)
-    close = estimate([F.col("x")[k] for k in lanes], [F.col("y")[k] for k in lanes]) >= screen
-    late = materialise(_confirmed(pairs.filter(close), sets, percent), "late")
+    pairs = _screened(_apart(member.join(main, "block"), sets, percent), bits, least)
+    late = materialise(_confirmed(pairs, sets, percent), "late")
 
     step = first.select("id", "root")
     joined = late.join(step.withColumnRenamed("id", "a").withColumnRenamed("root", "x"), "a", "left").join(step.withColumnRenamed("id", "b").withColumnRenamed("root", "y"), "b", "left")
     second = components(joined.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
-    final = blocks.select("id").join(first, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-    final = final.join(second.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("id", F.coalesce("top", "root").alias("top"))
-    named = classes.join(final, "id", "left").select("n_shingles", "low", "high", F.coalesce("top", "id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "low", "high").join(named, ["n_shingles", "low", "high"], "left")
+    final = member.select("id", "root").join(second.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("id", F.coalesce("top", "root").alias("top"))
+    topped = materialise(classes.join(final, "id", "left").select(*same, "doc", F.coalesce("top", "id").alias("top")), "tops")
+    least_ids = topped.groupBy("top").agg(F.min("doc").alias("component_id"))
+    named = topped.join(least_ids, "top").select(*same, "component_id")
+    out = signed.select("doc_id", *same).join(named, same, "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -116,7 +116,20 @@ for _c in chat.CONTROL:
 for _c in ("<|image:", "<|audio:", "<|document:"):
     _ESCAPED = f"replace({_ESCAPED}, '{_c}', '{_c[0]}\\{_c[1:]}')"
 
+#: All pairs that share a shingle, and their closure.
+_NEAR = """
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]) ELSE w END) AS s FROM w),
+        x AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM x a JOIN x b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM p WHERE 100 * c >= 80 * (na + nb - c)),
+        both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        reach AS (SELECT doc_id AS id, doc_id AS root FROM s UNION SELECT both_ways.b, reach.root FROM reach JOIN both_ways ON both_ways.a = reach.id),
+        least AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)
+        SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN least ON doc_id = id"""
+
 ORACLE_SQL = {
+    "op9_minhash": _NEAR,
     "op1_warc": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS h FROM p),
