@@ -3,13 +3,18 @@
 Writing: one file a task, rolled at `roll_bytes`; each record a gzip member
 whose header carries its length in an `sl` extra field.  Files get unique
 names and count only once the driver has written the manifest at commit, so
-lost or repeated tasks leave nothing that is read.
-
-Reading: files are planned into partitions of about `split_bytes`.  Filters on
-record_type, record_id, target_uri, refers_to and payload_digest are pushed
-down and checked on a record's headers, before its payload is inflated;
-members of other records are stepped over by their `sl` length.  With option
-payload=false no payload is read at all.
+lost or repeated tasks leave nothing that is read.  The manifest says where a
+record begins about every INDEX bytes.
+
+Reading: ranges of files between such places are planned into partitions of
+about `split_bytes`; files that no manifest lists are read whole, and only
+where the folder has no manifest.  Filters on record_type, record_id,
+target_uri, refers_to and payload_digest are pushed down and checked on a
+record's headers, before its payload is inflated; members of other records are
+stepped over by their `sl` length.  With option payload=false no payload is
+read at all.  Gzip members without `sl` may hold any number of records.  A
+record that is cut short or is none raises ValueError; with option
+tolerant=true it ends its file quietly.
 
 Paths are URIs that pyarrow.fs opens (file, hdfs, s3, gs), the same from all
 executors.
@@ -18,6 +23,7 @@ executors.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -36,6 +42,10 @@ _ARROW = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("
 NAMED = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To", "payload_length": "WARC-X-Payload-Length"}
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "_manifest.json"
+#: Bytes between the places of a file that the manifest names.
+INDEX = 16 << 20
+#: Names of headers by their lower case; in archives any case will do.
+CASED = {h.lower(): h for h in (*NAMED.values(), "Content-Type", "Content-Length", "WARC-Profile")}
 
 
 def _safe(value: str) -> str:
@@ -71,14 +81,18 @@ def member(record: bytes, level: int = 1) -> bytes:
 
 
 def parse_headers(block: bytes) -> dict[str, str]:
-    """Header lines of a record (after the version line); names keep their case, folded lines are joined."""
+    """Header lines of a record (after the version line); folded lines are joined.
+
+    Names that this module knows come in its own case, others as they stand.
+    """
     out: dict[str, str] = {}
     last = None
     for line in block.decode("utf-8", "replace").split("\r\n")[1:]:
         if line[:1] in (" ", "\t") and last:
             out[last] += " " + line.strip()
         elif ":" in line:
-            last, _, value = line.partition(":")
+            name, _, value = line.partition(":")
+            last = CASED.get(name.strip().lower(), name.strip())
             out[last] = value.strip()
     return out
 
@@ -88,6 +102,10 @@ class _Source:
 
     def __init__(self, stream, piece: int = 1 << 20):
         self.stream, self.piece, self.have, self.at = stream, piece, b"", 0
+        self.read_to = stream.tell()
+
+    def place(self) -> int:
+        return self.read_to - len(self.have) + self.at
 
     def peek(self, n: int) -> bytes:
         if len(self.have) - self.at < n:
@@ -96,71 +114,124 @@ class _Source:
             while short > 0 and (more := self.stream.read(max(short, self.piece))):
                 parts.append(more)
                 short -= len(more)
+                self.read_to += len(more)
             self.have, self.at = b"".join(parts), 0
         return self.have[self.at : self.at + n]
 
     def skip(self, n: int) -> None:
+        """Step over n bytes; raises if there are fewer."""
         here = len(self.have) - self.at
         if n <= here:
             self.at += n
-        else:
-            self.have, self.at = b"", 0
-            self.stream.seek(self.stream.tell() + n - here)
-
-
-def _plain_records(src: _Source, wanted, payloads: bool):
-    while True:
-        src_line = src.peek(1)
-        while src_line in (b"\r", b"\n"):
+            return
+        self.read_to += n - here - 1
+        self.have, self.at = b"", 0
+        self.stream.seek(self.read_to)
+        if not self.peek(1):
+            raise ValueError("a record is cut short")
+        self.at = 1
+
+
+class _Inflated:
+    """The contents of gzip members one after the other, as a stream that goes forward."""
+
+    def __init__(self, src: _Source):
+        self.src, self.inflate, self.done = src, zlib.decompressobj(31), 0
+
+    def tell(self) -> int:
+        return self.done
+
+    def read(self, n: int) -> bytes:
+        out: list[bytes] = []
+        while n > 0:
+            if self.inflate.eof:
+                self.inflate = zlib.decompressobj(31)
+            data = self.src.peek(1 << 16)
+            if not data:
+                break
+            try:
+                more = self.inflate.decompress(data, n)
+            except zlib.error as e:
+                raise ValueError(f"not a gzip member: {e}") from None
+            self.src.skip(len(data) - len(self.inflate.unused_data) - len(self.inflate.unconsumed_tail))
+            out.append(more)
+            n -= len(more)
+        self.done += sum(map(len, out))
+        return b"".join(out)
+
+    def seek(self, to: int) -> None:
+        while self.done < to and self.read(min(1 << 20, to - self.done)):
+            pass
+
+
+def _plain_records(src: _Source, wanted, payloads: bool, end: int | None):
+    while end is None or src.place() < end:
+        line = src.peek(1)
+        while line in (b"\r", b"\n") and line:
             src.skip(1)
-            src_line = src.peek(1)
-        if not src_line:
+            line = src.peek(1)
+        if not line:
             return
         n = 4096
-        while (end := (block := src.peek(n)).find(b"\r\n\r\n")) < 0:
-            if len(block) < n:
-                return
+        while (head := (block := src.peek(n)).find(b"\r\n\r\n")) < 0:
+            if len(block) < n or not block.startswith(b"WARC/"):
+                raise ValueError("a record's headers are cut short, or there is no record")
             n *= 2
-        headers = parse_headers(block[:end])
+        if not block.startswith(b"WARC/"):
+            raise ValueError("there is no record where one should begin")
+        headers = parse_headers(block[:head])
         length = int(headers.get("Content-Length", 0))
-        src.skip(end + 4)
-        if wanted(headers):
+        src.skip(head + 4)
+        ask = wanted(headers)
+        if ask and payloads and len(src.peek(length)) < length:
+            raise ValueError("a record is cut short")
+        if ask:
             yield headers, src.peek(length) if payloads else None
         src.skip(length)
 
 
-def _gzip_records(src: _Source, wanted, payloads: bool):
-    while len(top := src.peek(24)) >= 18:
-        size = struct.unpack("<I", top[16:20])[0] if top[3] == 4 and top[12:14] == b"sl" else 0
-        inflate = zlib.decompressobj(31)
-        piece = src.peek(size) if size else None
-        record, n = b"", 2048
-        if piece is not None:
-            record = inflate.decompress(piece, n)
-            while (end := record.find(b"\r\n\r\n")) < 0 and inflate.unconsumed_tail:
-                record += inflate.decompress(inflate.unconsumed_tail, n)
-        else:
-            while not inflate.eof and (data := src.peek(1 << 16)):
-                record += inflate.decompress(data)
-                src.skip(len(data) - len(inflate.unused_data))
-            end = record.find(b"\r\n\r\n")
-        if end < 0:
+def _member_records(src: _Source, wanted, payloads: bool, end: int | None):
+    """Records of members that carry their length; from the first that does not, all is inflated."""
+    while (end is None or src.place() < end) and src.peek(1):
+        top = src.peek(24)
+        if len(top) < 20 or top[:2] != b"\x1f\x8b" or top[3] != 4 or top[12:14] != b"sl":
+            yield from _plain_records(_Source(_Inflated(src)), wanted, payloads, None)
             return
-        headers = parse_headers(record[:end])
+        size = struct.unpack("<I", top[16:20])[0]
+        piece = src.peek(size)
+        if len(piece) < size:
+            raise ValueError("a record is cut short")
+        inflate = zlib.decompressobj(31)
+        record, n = inflate.decompress(piece, 2048), 2048
+        while (head := record.find(b"\r\n\r\n")) < 0 and inflate.unconsumed_tail:
+            record += inflate.decompress(inflate.unconsumed_tail, n)
+        if head < 0 or not record.startswith(b"WARC/"):
+            raise ValueError("a member holds no record")
+        headers = parse_headers(record[:head])
         if wanted(headers):
             block = None
             if payloads:
-                if piece is not None and inflate.unconsumed_tail:
+                if inflate.unconsumed_tail:
                     record += inflate.decompress(inflate.unconsumed_tail)
-                block = record[end + 4 : end + 4 + int(headers.get("Content-Length", 0))]
+                length = int(headers.get("Content-Length", 0))
+                block = record[head + 4 : head + 4 + length]
+                if len(block) < length:
+                    raise ValueError("a record is cut short")
             yield headers, block
         src.skip(size)
 
 
-def read_records(stream, wanted=lambda headers: True, payloads: bool = True) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """(headers, block) of the wanted records of a plain or gzipped archive; a cut record ends it."""
+def read_records(stream, wanted=lambda headers: True, payloads: bool = True, end: int | None = None, tolerant: bool = False) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """(headers, block) of the wanted records of a plain or gzipped archive, of those that begin before `end`.
+
+    A record cut short raises ValueError, or ends the archive if tolerant.
+    """
     src = _Source(stream)
-    yield from (_gzip_records if src.peek(2) == b"\x1f\x8b" else _plain_records)(src, wanted, payloads)
+    try:
+        yield from (_member_records if src.peek(2) == b"\x1f\x8b" else _plain_records)(src, wanted, payloads, end)
+    except ValueError:
+        if not tolerant:
+            raise
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
@@ -169,7 +240,7 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
 
 @dataclass
 class _Written(WriterCommitMessage):
-    files: list[str]
+    files: dict[str, list[int]]
 
 
 class _Writer(DataSourceArrowWriter):
@@ -179,17 +250,20 @@ class _Writer(DataSourceArrowWriter):
     def write(self, iterator):
         store, path = _open(self.uri)
         store.create_dir(path, recursive=True)
-        files, out, size = [], None, 0
+        files, out, size, name = {}, None, 0, ""
         for batch in iterator:
-            for row in batch.to_pylist():
-                if out is None or size > self.roll:
-                    if out is not None:
-                        out.close()
-                    files.append(f"part-{uuid.uuid4().hex}.warc.gz")
-                    out, size = store.open_output_stream(f"{path}/{files[-1]}", compression=None), 0
-                data = member(record_bytes(row))
-                out.write(data)
-                size += len(data)
+            for k in range(0, batch.num_rows, 64):
+                for row in batch.slice(k, 64).to_pylist():
+                    if out is None or size > self.roll:
+                        if out is not None:
+                            out.close()
+                        name = f"part-{uuid.uuid4().hex}.warc.gz"
+                        out, size, files[name] = store.open_output_stream(f"{path}/{name}", compression=None), 0, []
+                    if size >= INDEX * (len(files[name]) + 1):
+                        files[name].append(size)
+                    data = member(record_bytes(row))
+                    out.write(data)
+                    size += len(data)
         if out is not None:
             out.close()
         return _Written(files)
@@ -197,10 +271,9 @@ class _Writer(DataSourceArrowWriter):
     def commit(self, messages):
         store, path = _open(self.uri)
         store.create_dir(path, recursive=True)
-        files = [f for m in messages if m for f in m.files]
-        if not self.overwrite and store.get_file_info(f"{path}/{MANIFEST}").type != fs.FileType.NotFound:
-            with store.open_input_stream(f"{path}/{MANIFEST}") as f:
-                files = json.loads(f.read()) + files
+        files = {} if self.overwrite else _manifest(store, path) or {}
+        for m in messages:
+            files |= m.files if m else {}
         with store.open_output_stream(f"{path}/{MANIFEST}") as out:
             out.write(json.dumps(files).encode())
 
@@ -210,14 +283,24 @@ class _Writer(DataSourceArrowWriter):
             store.delete_file(f"{path}/{f}")
 
 
+def _manifest(store: fs.FileSystem, path: str) -> dict[str, list[int]] | None:
+    """Files of a folder, each with places where records begin; None without a manifest."""
+    if store.get_file_info(f"{path}/{MANIFEST}").type == fs.FileType.NotFound:
+        return None
+    with store.open_input_stream(f"{path}/{MANIFEST}") as f:
+        return json.loads(f.read())
+
+
 @dataclass
-class _Files(InputPartition):
-    files: list[str]
+class _Ranges(InputPartition):
+    """(file, first byte, byte before which the last record begins or None)."""
+
+    ranges: list[tuple[str, int, int | None]]
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, uri: str, payloads: bool, split: int):
-        self.uri, self.payloads, self.split, self.tests = uri, payloads, split, []
+    def __init__(self, uri: str, payloads: bool, split: int, tolerant: bool):
+        self.uri, self.payloads, self.split, self.tolerant, self.tests = uri, payloads, split, tolerant, []
 
     def pushFilters(self, filters):
         for f in filters:
@@ -230,29 +313,32 @@ class _Reader(DataSourceReader):
     def partitions(self):
         store, path = _open(self.uri)
         if store.get_file_info(path).type == fs.FileType.File:
-            return [_Files([path])]
+            return [_Ranges([(path, 0, None)])]
+        listed = _manifest(store, path)
         sizes = {i.path: i.size for i in store.get_file_info(fs.FileSelector(path)) if i.path.endswith((".warc", ".warc.gz"))}
-        if store.get_file_info(f"{path}/{MANIFEST}").type != fs.FileType.NotFound:
-            with store.open_input_stream(f"{path}/{MANIFEST}") as f:
-                listed = set(json.loads(f.read()))
+        if listed is not None:
             sizes = {k: v for k, v in sizes.items() if k.rpartition("/")[2] in listed}
-        parts: list[list[str]] = []
+        parts: list[list[tuple[str, int, int | None]]] = []
         room = 0
         for k in sorted(sizes):
-            if sizes[k] > room:
-                parts.append([])
-                room = self.split
-            parts[-1].append(k)
-            room -= sizes[k]
-        return [_Files(p) for p in parts] or [_Files([])]
+            begins = [0, *((listed or {}).get(k.rpartition("/")[2]) or [])]
+            for low, high in zip(begins, [*begins[1:], None], strict=True):
+                size = (sizes[k] if high is None else high) - low
+                if size > room:
+                    parts.append([])
+                    room = self.split
+                parts[-1].append((k, low, high))
+                room -= size
+        return [_Ranges(p) for p in parts] or [_Ranges([])]
 
     def read(self, partition):
         store, _ = _open(self.uri)
         wanted = lambda h: all(h.get(name) in values for name, values in self.tests)
         rows, size = [], 0
-        for path in partition.files:
+        for path, begin, end in partition.ranges:
             with store.open_input_file(path) as stream:
-                for headers, block in read_records(stream, wanted, self.payloads):
+                stream.seek(begin)
+                for headers, block in read_records(stream, wanted, self.payloads, end, self.tolerant):
                     payload = None
                     if block is not None and headers.get("WARC-Type") != "revisit":
                         payload = block.partition(b"\r\n\r\n")[2] if headers.get("Content-Type", "").startswith("application/http") else block
@@ -276,7 +362,7 @@ class WarcDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return _Reader(self.options["path"], self.options.get("payload", "true").lower() != "false", int(self.options.get("split_bytes", 128 << 20)))
+        return _Reader(self.options["path"], self.options.get("payload", "true").lower() != "false", int(self.options.get("split_bytes", 128 << 20)), self.options.get("tolerant", "false").lower() == "true")
 
     def writer(self, schema, overwrite):
         return _Writer(self.options["path"], overwrite, int(self.options.get("roll_bytes", 1 << 30)))
@@ -344,6 +430,9 @@ def write_archives(rows: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
     records.write.format("warc").mode("append").save(path)
 
 
-def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, payload: bool = True, tolerant: bool = False) -> DataFrame:
+    """Records of the archives at path, in partitions of the size that the session has for files."""
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    number, unit = re.match(r"(\d+)([kmgt]?)", spark.conf.get("spark.sql.files.maxPartitionBytes").lower()).groups()
+    split = int(number) << 10 * "_kmgt".index(unit or "_")
+    return spark.read.format("warc").option("payload", str(payload).lower()).option("tolerant", str(tolerant).lower()).option("split_bytes", split).load(path)
