@@ -115,21 +115,31 @@ def format_turns(rows: DataFrame) -> DataFrame:
 
 
 class _Reading:
-    """Digests of a conversation, read turn by turn from its formatted chunks."""
+    """Digests of a conversation, read from its formatted text, which comes in pieces cut anywhere.
+
+    Turns are found by the control strings alone, which no escaped text holds;
+    the loss mask is the spans that come with the pieces.
+    """
 
     def __init__(self, conv):
-        self.conv, self.n, self.loss, self.size = conv, 0, 0, 0
+        self.conv, self.n, self.loss, self.size, self.held = conv, 0, 0, 0, ""
         self.turns, self.masked = hashlib.sha256(), hashlib.sha256()
 
-    def add(self, chunk: str, low: int, high: int) -> None:
-        role, _, body = chunk.removeprefix(TURN).partition(BODY)
-        body = body.removesuffix(STOP)
-        self.turns.update(f"{unescape(role)}\n{unescape(body)}\n".encode("utf-8", "replace"))
-        text = unescape(chunk[low:high])
+    def add(self, piece: str, low: int, high: int) -> None:
+        text = unescape(piece[low:high])
         self.masked.update(text.encode("utf-8", "replace"))
-        self.n, self.loss, self.size = self.n + 1, self.loss + len(text), self.size + len(chunk)
+        self.loss, self.size = self.loss + len(text), self.size + len(piece)
+        *turns, self.held = (self.held + piece).split(STOP)
+        for turn in turns:
+            role, body, text = turn.removeprefix(TURN).partition(BODY)
+            if not turn.startswith(TURN) or not body:
+                raise ValueError(f"conversation {self.conv}: no turn at {turn[:40]!r}")
+            self.turns.update(f"{unescape(role)}\n{unescape(text)}\n".encode("utf-8", "replace"))
+            self.n += 1
 
     def row(self):
+        if self.held:
+            raise ValueError(f"conversation {self.conv}: no end of {self.held[:40]!r}")
         return self.conv, self.n, self.turns.hexdigest(), self.loss, self.masked.hexdigest(), self.size
 
 
