@@ -17,17 +17,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what passes the base rules and the likelihood ratio against trusted documents.
 
-    The verdicts are written before they are filtered: a filter that the
-    optimizer moves below the projections would repeat their expressions
-    inside one another without end.
+    Null and empty texts fail the base rules.  Rows are judged each for itself.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = quality.quality_rules(docs.select(*COLUMNS), labels).select(*COLUMNS, "kept")
-    return materialise(judged, "judged").filter("kept").select(*COLUMNS)
+    return quality.quality_rules(docs.select(*COLUMNS), labels).filter("kept").select(*COLUMNS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a language; a null lang becomes the predicted one."""
+    """Drops texts without a language (null, or without a letter); a null lang becomes the predicted one."""
     docs = docs.select(*COLUMNS)
     samples = langid.learn(docs.filter(~langid.held_out(F.col("doc_id"))))
     told = langid.identify(docs, samples, keep=tuple(COLUMNS)).filter("lang_pred <> 'und'")
@@ -35,23 +32,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each class of texts linked by 0.8 of their five-word shingles.
+    """Keeps one row of each class of texts linked by 0.8 of their five-word shingles: that of the smallest id.
 
-    Rows that repeat an id count once; rows without an id count once a text.
+    Rows are compared under numbers of their own, so those that share an id, or
+    have none, are told apart; rows without an id come last in a class.
     """
-    docs = docs.select(*COLUMNS)
-    kept = minhash.near_duplicates(docs, shingle=5, percent=80).filter("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"])).select(*COLUMNS)
+    docs = materialise(docs.select(*COLUMNS).withColumn("uid", F.monotonically_increasing_id()), "numbered")
+    found = minhash.near_duplicates(docs, id_col="uid", shingle=5, percent=80).select(F.col("doc_id").alias("uid"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
+    kept = docs.select("uid", "doc_id").join(found, "uid").groupBy("component_id").agg(F.min(order).alias("first")).select("first.uid")
+    return docs.join(kept, "uid", "left_semi").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often, and as far, as the mix takes them."""
+    """The documents as often, and as far, as the mix takes them; texts without words go."""
     return mixing.mixed_documents(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 1024 tokens."""
+    """Pieces of sequences of at most 1024 tokens; an empty text is a piece of one token."""
     return packing.piece_digests(packing.pack(docs.select(*COLUMNS), tokenizer_path()))
 
 
@@ -63,7 +62,7 @@ STAGES = [
     ("pack_sequences", pack_sequences),
 ]
 
-#: Hashed likelihood ratios, automata and tokens have no SQL; tests hold the stages against brute force.
+#: Hashed likelihood ratios, automata and tokens have no SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 

@@ -1,12 +1,19 @@
 """Operators held against naive versions of their methods."""
 
+import gzip
+import hashlib
+import io
 import math
 import random
 import zlib
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from demandlens.llm import langid, packing
+from demandlens.llm import chat, langid, media, minhash, mixing, packing, warc
+from demandlens.llm.common import scratch
 from demandlens.llm.queries import tokenizer_path
 
 
@@ -70,3 +77,229 @@ def test_packing_of_special_strings_and_ranks(spark):
         for r in packing.ranked(tokens, counts, parts).collect():
             ranks.setdefault(r["r"], []).append(r["rank"])
         assert all(sorted(x) == list(range(len(x))) for x in ranks.values())
+
+
+def test_permutations_and_draws():
+    for n in (1, 2, 3, 17, 64, 1000):
+        for key in (0, 5):
+            x = np.arange(n)
+            y = mixing.permute(x, np.full(n, n), np.full(n, key))
+            assert sorted(y) == list(x)
+            assert (mixing.permute(y, np.full(n, n), np.full(n, key), back=True) == x).all()
+    quotas = np.array([500, 0, 3000, 77], np.int64)
+    one, two = mixing.draw(quotas, 16, 1), mixing.draw(quotas, 16, 2)
+    assert (one.sum(0) == quotas).all() and (one.sum(1).max() - one.sum(1).min()) <= 1
+    assert (one != two).any() and len({tuple(r) for r in one.tolist()}) > 8
+    assert mixing.draw(np.zeros(2, np.int64), 3, 1).tolist() == [[0, 0]] * 3
+    assert mixing.draw(np.zeros(0, np.int64), 3, 1).shape == (3, 0)
+
+
+def test_mix_against_a_table_of_slots(spark):
+    """Blocks joined to slots by index, one slot after the other."""
+    rng = random.Random(4)
+    rows = [(k, " ".join("w" * rng.randint(1, 3) for _ in range(rng.choice([0, 1, 7, 40, 400]))), rng.choice(["a", "b", None]), 1) for k in range(60)]
+    rows += [rows[3], (3, "another text", "a", 2), (None, "no id", "b", 3), (None, "none either", "b", 3), (70, None, None, 4), (71, "", "c", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size long")
+    mix = mixing.mix(df, block=8, shards=5)
+    uses = mix.uses.collect()
+    size = {}
+    for r in uses:
+        size[r["source_no"]] = size.get(r["source_no"], 0) + r["size"]
+    goal = mixing.targets({s: n for s, n, _ in mix.sources})
+    assert [(n, t) for _, n, t in mix.sources] == [(size.get(k, 0), goal[s]) for k, (s, _, _) in enumerate(mix.sources)]
+    # The slots, in order of source and shard, each with the block that its permutation names.
+    slots, plan = {}, mix.plan
+    for s, quota in enumerate(plan.quotas.tolist()):
+        for j in range(quota):
+            turn, n = divmod(j, int(plan.blocks[s]))
+            block = int(mixing.permute(np.array([n]), plan.blocks[[s]], plan.key(np.array([s]), turn))[0])
+            shard = next(k for k in range(5) if plan.draws[: k + 1, s].sum() > j)
+            place = plan.draws[shard, :s].sum() + j - plan.draws[:shard, s].sum()
+            slot = int(mixing.permute(np.array([place]), plan.draws[[shard]].sum(1), np.array([shard + plan.seed]))[0])
+            slots[shard, slot] = (s, block)
+    assert all(sorted(k for h, k in slots if h == shard) == list(range(plan.draws[shard].sum())) for shard in range(5))
+    # Each slot's words: those of its block, of which only a source's last may be short.
+    held = {}
+    for r in mix.placements().collect():
+        held.setdefault((r["shard"], r["slot"]), []).append((r["source_no"], r["length"]))
+    assert set(held) == set(slots)
+    for at, runs in held.items():
+        s, block = slots[at]
+        assert {x for x, _ in runs} == {s} and sum(n for _, n in runs) == min(8, size[s] - 8 * block)
+    for r in mix.taken().collect():
+        assert r["taken"] <= 2 * r["size"]
+    for s, (_, n, target) in enumerate(mix.sources):
+        assert abs(sum(u["length"] for r in uses if r["source_no"] == s for u in r["uses"]) - target) <= 16
+    # Another dealing of the rows, the same mix, but for which of two like rows is which.
+    again = mixing.mix(df.repartition(7), block=8, shards=5).taken()
+    assert sorted(map(tuple, again.collect()), key=repr) == sorted(map(tuple, mix.taken().collect()), key=repr)
+
+
+def jaccard_components(sets):
+    """Smallest key reachable over pairs of 80 percent, by trying all pairs."""
+    root = {k: k for k in sets}
+    find = lambda k: k if root[k] == k else find(root[k])
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {k: find(k) for k in sets}
+
+
+def shingles(text, width):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def test_near_duplicates_of_clashing_ids(spark):
+    rng = random.Random(6)
+    base = [" ".join(f"w{rng.randint(0, 400)}" for _ in range(n)) for n in (30, 60, 90, 3000)]
+    swap = lambda t, n: " ".join(w if k % (len(t.split()) // n or 1) else f"x{rng.randint(0, 9)}" for k, w in enumerate(t.split()))
+    texts = [*base, *(swap(b, n) for b in base for n in (1, 2, 3, 6)), base[0].upper(), base[1], None, "", "one", "One", "two"]
+    ids = [9, 5, 7, 3, *(rng.choice([None, 5, 7, 20, 21, 22]) for _ in range(16)), 40, None, 41, 42, 43, 2, None]
+    rows = list(zip(ids, texts, strict=True)) + [(5, base[1]), (None, None)]
+    df = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "doc_id long, text string, id long, key string, hub long").repartition(3)
+    part = jaccard_components({k: shingles(t, 2) for k, (_, t) in enumerate(rows)})
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[part[k]] = min(i, least.get(part[k], i))
+    want = []
+    for k, (i, t) in enumerate(rows):
+        s = shingles(t, 2)
+        root = least.get(part[k]) if s else i
+        want.append((i, len(s), root, i == root))
+    got = [tuple(r) for r in minhash.near_duplicates(df, shingle=2).select("doc_id", "n_shingles", "component_id", "kept").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    with pytest.raises(ValueError):
+        minhash.near_duplicates(df, percent=60)
+
+
+def test_estimate_is_near_the_similarity(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for share in (0.5, 0.8, 0.95):
+        both = rng.integers(0, 2**63, 4000).astype(np.uint64)
+        n = round(4000 * share)
+        a, b = both[: n + (4000 - n) // 2], np.append(both[:n], both[n + (4000 - n) // 2 :])
+        rows.append((share, [minhash.signature(np.sort(x))[1].tolist() for x in (a, b)]))
+    df = spark.createDataFrame([(s, *x) for s, x in rows], "s double, x array<long>, y array<long>")
+    lanes = range(minhash.LANES)
+    for r in df.select("s", minhash.estimate([F.col("x")[k] for k in lanes], [F.col("y")[k] for k in lanes]).alias("e")).collect():
+        assert abs(r["s"] - r["e"]) < 0.12
+    assert 0.6 < minhash.least_estimate(80) < 0.7
+
+
+def naive_lzw(codes, bits):
+    clear, table, before, out = 1 << bits, {}, None, []
+    for c in codes:
+        if c == clear:
+            table, before = {k: bytes([k]) for k in range(clear)} | {clear: b"", clear + 1: b""}, None
+            continue
+        entry = table[c] if c in table else before + before[:1]
+        out.append(entry)
+        if before is not None and len(table) < 4096:
+            table[len(table)] = before + entry[:1]
+        before = entry
+    return b"".join(out)
+
+
+def test_lzw_against_a_table_of_strings():
+    rng = random.Random(12)
+    for data in (b"a" * 50_000, bytes(rng.choices(b"ab", k=30_000)), bytes(rng.choices(range(256), k=30_000)), b"\xff", "the thing ä and then the thing ".encode() * 900):
+        codes = media._lzw_codes(data).tolist()
+        assert codes[0] == 256 and codes[-1] == 257 and naive_lzw(codes[:-1], 8) == data
+        stream = media.lzw_encode(data)
+        assert media.lzw_decode(stream, 8, len(data)) == data and media.lzw_decode(stream, 8, 7) == data[:7]
+        # A stream cut short gives a start of the data; a faulty one does not fail.
+        cut = media.lzw_decode(stream[: len(stream) // 2], 8, len(data))
+        assert data.startswith(cut) and len(cut) < len(data)
+        media.lzw_decode(bytes(rng.choices(range(256), k=500)), 8, 10_000)
+    assert media.lzw_decode(b"abc", 0, 9) == media.lzw_decode(b"abc", 200, 9) == b""
+
+
+def test_media_digests_and_feature(spark):
+    import hashlib
+
+    from demandlens.llm.queries import op6_media
+
+    texts = [None, "", "x" * 575, "y" * 576, "é" * 40_000, "x" * 575]
+    got = {}
+
+    class Reader:
+        def parquet(self, path):
+            return spark.createDataFrame([(k, t, b"clash", 3) for k, t in enumerate(texts)], "doc_id long, text string, media binary, n_bytes long")
+
+    rows = op6_media(type("Session", (), {"read": Reader()})(), "nowhere").collect()
+    for r in rows:
+        raw = (texts[r["doc_id"]] or "").encode()
+        data = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
+        stored = media.encode(data)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(data), hashlib.sha256(data).hexdigest())
+        assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(data[-32:]), len(stored), hashlib.sha256(stored).hexdigest())
+        frames = []
+        for k in range(0, len(data), 576 * 64):
+            shown = np.frombuffer(data[k : k + 576 * 64], np.uint8)
+            screen = np.frombuffer(data[: 576 * 64], np.uint8).copy() if not k else screen
+            screen[: len(shown)] = shown
+            one = ",".join(map(str, np.bincount(screen >> 4, minlength=16)))
+            frames.append(f"{100 * (k // (576 * 64))}:{one},{one},{one}")
+        assert r["feature"] == ";".join(frames)
+        got[r["doc_id"]] = r["feature"], r["media_sha256"]
+    assert len(rows) == len(texts) and got[2] == got[5]
+
+
+def archive(n=5, gz=None, **change):
+    rows = [{"record_id": f"<{k}>", "record_type": "resource", "payload": b"p%d" % k * 50} | change for k in range(n)]
+    return [gz(warc.record_bytes(r)) if gz else warc.record_bytes(r) for r in rows]
+
+
+@pytest.mark.parametrize("make", ["plain", "members", "foreign", "whole"])
+def test_warc_that_is_cut_or_foreign(make):
+    parts = archive(gz={"members": warc.member, "foreign": gzip.compress}.get(make))
+    data = gzip.compress(b"".join(archive())) if make == "whole" else b"".join(parts)
+    names = lambda d, **how: [h["WARC-Record-ID"] for h, _ in warc.read_records(io.BytesIO(d), **how)]
+    assert names(data) == names(data, payloads=False) == [f"<{k}>" for k in range(5)]
+    assert [b for _, b in warc.read_records(io.BytesIO(data), lambda h: h["WARC-Record-ID"] == "<3>")] == [b"p3" * 50]
+    where = len(data) - 60 if make == "whole" else len(parts[0]) * 2 + len(parts[2]) // 2
+    for payloads in (True, False):
+        with pytest.raises(ValueError):
+            names(data[:where], payloads=payloads)
+        assert names(data[:where], payloads=payloads, tolerant=True) == [f"<{k}>" for k in range(len(names(data[:where], tolerant=True)))]
+    assert names(b"") == []
+    with pytest.raises(ValueError):
+        names(b"GIF89a no archive at all" * 300)
+
+
+def test_warc_headers_of_any_case():
+    plain = b"WARC/1.0\r\nwarc-type: resource\r\nwarc-record-id: <a>\r\ncontent-length: 4\r\nX-Own: 1\r\n 2\r\n\r\nWARC\r\n\r\n"
+    got = list(warc.read_records(io.BytesIO(plain * 2)))
+    assert len(got) == 2 and got[0] == ({"WARC-Type": "resource", "WARC-Record-ID": "<a>", "Content-Length": "4", "X-Own": "1 2"}, b"WARC")
+
+
+def test_warc_ranges(spark, monkeypatch):
+    monkeypatch.setattr(warc, "INDEX", 2000)
+    writer = warc._Writer(scratch(spark, "ranges"), False, 20_000)
+    payloads = [bytes(random.Random(k).choices(range(256), k=900)) for k in range(60)]
+    batch = pa.RecordBatch.from_pylist([{"record_id": f"<{k}>", "record_type": "resource", "payload": p} for k, p in enumerate(payloads)])
+    writer.commit([writer.write(iter([batch])), None])
+    reader = warc._Reader(writer.uri, True, 5000, False)
+    parts = reader.partitions()
+    assert len(parts) > 8 and len({f for p in parts for f, *_ in p.ranges}) > 2
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted(r["record_id"] for r in rows) == sorted(f"<{k}>" for k in range(60))
+    assert {r["record_id"]: r["payload"] for r in rows} == {f"<{k}>": p for k, p in enumerate(payloads)}
+
+
+def test_chats_are_parsed_from_their_text():
+    reading = chat._Reading(1)
+    text = "".join(f"{chat.TURN}{r}{chat.BODY}{chat.escape(t)}{chat.STOP}" for r, t in (("user", "a</s>"), ("assistant", "\\<|end|>")))
+    for k in range(0, len(text), 7):  # cut anywhere
+        reading.add(text[k : k + 7], 0, 0)
+    assert reading.row()[:3] == (1, 2, hashlib.sha256(b"user\na</s>\nassistant\n\\<|end|>\n").hexdigest())
+    for faulty in ("stray" + text, text + "more", chat.TURN + "user" + chat.STOP):
+        reading = chat._Reading(2)
+        with pytest.raises(ValueError):
+            reading.add(faulty, 0, 0)
+            reading.row()

@@ -105,13 +105,13 @@ def test_solver_never_exceeds_the_histogram():
 
 def test_mixing(spark):
     df, texts = documents(spark)
-    got = mixing.mix(df, block=8).taken().toPandas()
+    got = mixing.mix(df, block=8, shards=5).taken().toPandas()
     assert len(got) == len(texts) + 2 and (got["taken"] <= 2 * got["size"]).all()
-    again = mixing.mix(df, block=8).taken().toPandas()
+    again = mixing.mix(df, block=8, shards=5).taken().toPandas()
     key = ["doc_id", "size", "taken"]
     assert got[key].sort_values(key).reset_index(drop=True).equals(again[key].sort_values(key).reset_index(drop=True))
     assert mixing.targets({"a": 10, "b": 100, None: 0}) == {"a": 20.0, "b": 145.0, None: 0.0}
-    mixed = mixing.mixed_documents(df, block=8).collect()
+    mixed = mixing.mixed_documents(df, block=8, shards=5).collect()
     assert sum(len(words_of(r["text"])) for r in mixed) == got["taken"].sum()
     assert mixing.mix(df.limit(0)).taken().count() == 0
 
@@ -128,8 +128,11 @@ def test_quality_against_brute_force(spark):
         r = got[k]
         want = (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(marked), len(w) < 50 or 2 * len(marked) > len(w))
         assert (r["n_words"], r["word_chars"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == want
-    # A filter on the lazy result would nest its expressions; rows are filtered here.
-    assert all(r["kept"] for r in quality.quality_rules(df, labels.limit(0)).collect() if not r["base_failed"])
+        assert r["n_symbols"] == sum((t or "").count(c) for c in "#*$%&|<>")
+    # Filters on the lazy result are planned as they stand.
+    out = quality.quality_rules(df, labels.limit(0))
+    assert out.filter("kept").count() == out.filter("not base_failed").count() == sum(not r["base_failed"] for r in out.collect())
+    assert out.filter("n_words > 3 and kept and llr = 0").groupBy("n_dup_lines").count().count() > 0
     assert quality.quality_rules(df.limit(0), labels).collect() == []
 
 
@@ -185,14 +188,14 @@ def test_language(spark):
     assert ord("a") not in moves[moves[0][ord("b")]]
 
 
-@pytest.mark.parametrize("search", [False, True])
-def test_gif_round_trip(search):
+def test_gif_round_trip():
     rng = random.Random(5)
     for n in (576, 576 * 3, 576 * 130):
         data = bytes(rng.choices(b"abc \xff\x00", k=n))
-        frames = list(media.decode(media.encode(data, search=search)))
+        frames = list(media.decode(media.encode(data)))
         assert b"".join(f.indices for f in frames) == data and [f.time_ms for f in frames] == [100 * k for k in range(len(frames))]
-        assert sum(sum(media.histogram(f)) for f in frames) == n
+        assert sum(sum(media.colours(f.canvas)) for f in media.decode(media.encode(b"ab" * 288))) == 3 * 576
+        assert len(media.lzw_encode(data)) < 9 * len(data) // 8
     with pytest.raises(ValueError):
         list(media.decode(b"PNG"))
 
