@@ -226,7 +226,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = ["n_shingles", "low", "high"]
     head = F.max_by("text_hash", F.coalesce("doc_id", F.lit(-(2**63))))
     classes = signed.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last"), head.alias("text_hash"))
-    classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    # Ids rise with document ids, so hubs and roots are the oldest of a group, of which the others are likely copies.
+    classes = classes.orderBy(F.asc_nulls_last("doc"), "low", "high").withColumn("id", F.monotonically_increasing_id())
+    classes = materialise(classes, "classes")
     on = [*(signed[c] == classes[c] for c in [*same, "text_hash"]), signed["doc_id"].eqNullSafe(classes["last"])]
     heads = signed.join(classes, on).select("id", "keys", "bits").dropDuplicates(["id"])
     heads = materialise(heads, "heads")
