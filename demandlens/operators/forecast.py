@@ -17,9 +17,8 @@ COLUMNS = ("pickup_hour", "zone_id", "trips")
 def hourly_panel(demand: DataFrame, full_grid: bool = True, start=None, end=None) -> DataFrame:
     """Every zone seen x every hour from the first to the last (or start to end), zero where there is no row.
 
-    Rows that share zone and hour raise when the panel is computed.  The hours
-    come from one row of bounds; bounds given by the caller keep a stray old
-    time from inflating the grid.
+    Rows that share zone and hour raise when the panel is computed.  Bounds
+    given by the caller keep a stray old time from inflating the grid.
     """
     if missing := [c for c in COLUMNS if c not in demand.columns]:
         raise ValueError(f"demand lacks {', '.join(missing)}")
@@ -27,10 +26,12 @@ def hourly_panel(demand: DataFrame, full_grid: bool = True, start=None, end=None
         return demand.select(*COLUMNS).orderBy("zone_id", "pickup_hour")
     cells = demand.groupBy("zone_id", "pickup_hour").agg(F.first("trips").alias("trips"), F.count("*").alias("n"))
     cells = cells.select("zone_id", "pickup_hour", F.when(F.col("n") == 1, F.col("trips")).otherwise(F.raise_error(F.lit("a zone has two rows for one hour")).cast("long")).alias("trips"))
-    low = F.lit(str(start)).cast("timestamp_ntz") if start else F.min("pickup_hour")
-    high = F.lit(str(end)).cast("timestamp_ntz") if end else F.max("pickup_hour")
-    hours = demand.agg(low.alias("a"), high.alias("b")).filter("a is not null").select(F.explode(F.expr("sequence(a, b, interval 1 hour)")).alias("pickup_hour"))
-    grid = demand.select("zone_id").distinct().crossJoin(F.broadcast(hours))  # zones x hours is the result itself
+    # One row a zone, so a window over all of them is small; hours are made where a zone's rows are.
+    spans = demand.groupBy("zone_id").agg(F.min("pickup_hour").alias("a"), F.max("pickup_hour").alias("b"))
+    low = F.lit(str(start)).cast("timestamp_ntz") if start else F.min("a").over(W.partitionBy())
+    high = F.lit(str(end)).cast("timestamp_ntz") if end else F.max("b").over(W.partitionBy())
+    spans = spans.select("zone_id", low.alias("a"), high.alias("b")).filter("a is not null").repartition("zone_id")
+    grid = spans.select("zone_id", F.explode(F.expr("sequence(a, b, interval 1 hour)")).alias("pickup_hour"))
     return grid.join(cells, ["zone_id", "pickup_hour"], "left").select("pickup_hour", "zone_id", F.coalesce("trips", F.lit(0)).cast("long").alias("trips"))
 
 
