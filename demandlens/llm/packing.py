@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Most chunks whose ids a task remembers, some 300 bytes a chunk.
-CACHE = 1 << 17
+#: White space in one run that the merges are not asked to take.
+RUN = 100_000
 #: Tasks whose counts may be broadcast, at most 17 KB each; beyond it they are joined by task.
 PARTS = 1 << 10
 #: Ids of sequences that hold one whole window begin at WHOLE << 40.
@@ -54,15 +54,13 @@ def _ranked(tokenizer):
 
 @functools.lru_cache(2)
 def _encoder(path: str):
-    """encode(texts) -> ids as little-endian uint32 bytes, with a cache of chunks, and a function that empties it.
-
-    A pre-token of this byte-level vocabulary never spans the start of a run of
-    blanks or line feeds that follows another kind of character, so chunks that
-    begin there can be encoded apart.  A chunk that ends in any other white
-    space sends its text the plain way, as does an added token (such as an
-    end-of-text mark) that a text spells out, which is one id.  New chunks go through the same merges
-    in tiktoken, several times faster a word, if it agrees with the tokenizer
-    on a set of probes; else through the tokenizer.
+    """encode(texts) -> ids as little-endian uint32 bytes.
+
+    Texts go through the same merges in tiktoken, several times faster, if it
+    agrees with the tokenizer on a set of probes; else through the tokenizer,
+    as does a text that spells out an added token (such as an end-of-text
+    mark), which is one id, or has a run of white space that is too long for
+    the pattern's stack.
     """
     import os
     import re
@@ -72,49 +70,26 @@ def _encoder(path: str):
 
     tokenizer = Tokenizer.from_file(path)
     added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    chunks = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
-    known: dict[str, bytes] = {}
-    odd: set[str] = set()
+    run = re.compile(rf"\s{{{RUN}}}").search
 
-    def plain(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def plain(text: str) -> bytes:
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    probes = [*"aé中🙂", "The quick brown fox's 123 jumps!\n\n  over\t<|x|>", " naïve  déjà-vu  ÜBER ", "x" * 300, "\x00\x1c\u2028~"]
-    fast = _ranked(tokenizer)
+    probes = [*"aé中🙂", "The quick brown fox's 123 jumps!\n\n  over\t<|x|>", " naïve  déjà-vu  ÜBER ", "x" * 300, "\x00\x1c\u2028~ \x85 \t\r\n  \u3000a"]
+    merge = _ranked(tokenizer)
 
-    def merged(parts: list[str]) -> list[bytes]:
-        return [array("I", fast(p)).tobytes() for p in parts]
+    def merged(text: str) -> bytes:
+        return array("I", merge(text)).tobytes()
 
     try:
-        new_ids = merged if fast and sys.byteorder == "little" and merged(probes) == plain(probes) else plain
+        fast = merged if merge and sys.byteorder == "little" and all(merged(p) == plain(p) for p in probes) else plain
     except (KeyError, ValueError):
-        new_ids = plain
+        fast = plain
 
     def encode(texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            if any(a in text for a in added):
-                out += plain([text])
-                continue
-            parts = chunks(text)
-            try:
-                ids = b"".join(map(known.__getitem__, parts))
-            except KeyError:
-                if len(known) > CACHE:
-                    known.clear(), odd.clear()
-                new = [p for p in dict.fromkeys(parts) if p not in known]
-                known.update(zip(new, new_ids(new), strict=True))
-                odd.update(p for p in new if p[-1] not in " \n" and p[-1].isspace())
-                ids = b"".join(map(known.__getitem__, parts))
-            if odd and not odd.isdisjoint(parts):
-                ids = plain([text])[0]
-            out.append(ids)
-        return out
+        return [plain(t) if any(a in t for a in added) or len(t) > RUN and run(t) else fast(t) for t in texts]
 
-    def forget() -> None:
-        known.clear(), odd.clear()
-
-    return encode, forget
+    return encode
 
 
 TOKENS = "doc_id long, uid long, n long, first long, part int, local long, ids binary"
@@ -122,28 +97,25 @@ TOKENS = "doc_id long, uid long, n long, first long, part int, local long, ids b
 
 def _tokenised(path: str, end: int, window: int):
     def run(batches):
-        (encode, forget), part = _encoder(path), TaskContext.get().partitionId()
+        encode, part = _encoder(path), TaskContext.get().partitionId()
         row = whole = 0
         stop = np.array([end], "<u4").tobytes()
         seen = np.zeros(window, np.int64)
-        try:
-            for batch in batches:
-                for k in range(0, batch.num_rows, 256):
-                    some = batch.slice(k, 256)
-                    ids = [x + stop for x in encode([t or "" for t in some.column(1).to_pylist()])]
-                    n = np.array([len(x) // 4 for x in ids], np.int64)
-                    uid = (part << 40) + row + np.arange(len(n), dtype=np.int64)
-                    full, r = n // window, n % window
-                    first = ((part + WHOLE) << 40) + whole + np.cumsum(full) - full
-                    order = np.argsort(r, kind="stable")
-                    begins = np.searchsorted(r[order], r[order])
-                    local = np.empty(len(n), np.int64)
-                    local[order] = seen[r[order]] + np.arange(len(n)) - begins
-                    np.add.at(seen, r, 1)
-                    row, whole = row + len(n), whole + int(full.sum())
-                    yield pa.RecordBatch.from_arrays([some.column(0), pa.array(uid), pa.array(n), pa.array(first), pa.array(np.full(len(n), part, np.int32)), pa.array(local), pa.array(ids, pa.binary())], [c.split()[0] for c in TOKENS.split(", ")])
-        finally:
-            forget()
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                some = batch.slice(k, 256)
+                ids = [x + stop for x in encode([t or "" for t in some.column(1).to_pylist()])]
+                n = np.array([len(x) // 4 for x in ids], np.int64)
+                uid = (part << 40) + row + np.arange(len(n), dtype=np.int64)
+                full, r = n // window, n % window
+                first = ((part + WHOLE) << 40) + whole + np.cumsum(full) - full
+                order = np.argsort(r, kind="stable")
+                begins = np.searchsorted(r[order], r[order])
+                local = np.empty(len(n), np.int64)
+                local[order] = seen[r[order]] + np.arange(len(n)) - begins
+                np.add.at(seen, r, 1)
+                row, whole = row + len(n), whole + int(full.sum())
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(uid), pa.array(n), pa.array(first), pa.array(np.full(len(n), part, np.int32)), pa.array(local), pa.array(ids, pa.binary())], [c.split()[0] for c in TOKENS.split(", ")])
 
     return run
 
