@@ -24,11 +24,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a language (null, or without a letter); a null lang becomes the predicted one."""
+    """Drops texts without a language (null, or without a letter); lang becomes the language of the text, whatever was declared."""
     docs = docs.select(*COLUMNS)
     samples = langid.learn(docs.filter(~langid.held_out(F.col("doc_id"))))
     told = langid.identify(docs, samples, keep=tuple(COLUMNS)).filter("lang_pred <> 'und'")
-    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    return told.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

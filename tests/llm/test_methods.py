@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from demandlens.llm import chat, langid, media, minhash, mixing, packing, warc
+from demandlens.llm import chat, html_extract, langid, media, minhash, mixing, packing, sharding, warc
 from demandlens.llm.common import scratch
 from demandlens.llm.queries import tokenizer_path
 
@@ -303,3 +303,66 @@ def test_chats_are_parsed_from_their_text():
         with pytest.raises(ValueError):
             reading.add(faulty, 0, 0)
             reading.row()
+
+
+def test_only_the_wrapper_tells_menu_from_article(spark):
+    """Two hosts whose class names mean nothing, and trade places."""
+    rng = random.Random(5)
+    say = lambda n: " ".join("".join(rng.choices("abcdefg", k=5)) for _ in range(n))
+    links = lambda: "".join(f"<span><a href=/{w}>{w}</a></span>" for w in say(5).split())
+    rows, want = [], {}
+    for k in range(24):
+        title, parts, more = say(4), [say(30) for _ in range(rng.randint(1, 4))], say(3)
+        menu, story = ("q1", "q2") if k % 2 else ("q2", "q1")
+        html = f"<html><body><div class={menu}>{links()}</div><h1>{title}</h1><div class={story}>" + "".join(f"<p>{x}</p>" for x in parts) + f"</div><div class=q3>{more}</div><div class=q4>Always the same words here</div></body></html>"
+        rows.append((k, f"http://h{k % 2}.example/{k}", html))
+        want[k] = "\n".join([title, *parts])
+    got = {r["page_id"]: r for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: r["text"] for k, r in got.items()} == want and all(r["matched"] for r in got.values())
+    for k, _, html in rows[:4]:
+        alone = html_extract.extract(html)[0]
+        other = html_extract.extract(html, html_extract.wrapper_of([r[2] for r in rows if (r[0] - k) % 2][:6]))
+        assert alone != want[k] and other == (alone, False)
+
+
+def test_shards_against_all_cuts(spark):
+    """Sizes, checksums, slots and the least possible largest shard, over cells in order of hash."""
+    rng = random.Random(9)
+    texts = [None, "", *("x" * rng.randint(0, 400) for _ in range(40)), *("y" * rng.randint(0, 900) for _ in range(30))]
+    rows = [(k if k % 9 else None, t, 1, 2) for k, t in enumerate(texts)] + [(3, texts[3], 1, 2)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, size long, shard long")
+    cell = {r["text"]: r["cell"] for r in df.select("text", F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 64 - sharding.CELL_BITS).alias("cell")).collect()}
+    size = lambda t: len((t or "").encode()) + 16
+    sizes = {}
+    for _, t, *_ in rows:
+        sizes[cell[t]] = sizes.get(cell[t], 0) + size(t)
+    ordered = [sizes[c] for c in sorted(sizes)]
+    best = [0] + [10**9] * len(ordered)
+    for _ in range(7):
+        best = [min(max(best[j], sum(ordered[j:i])) for j in range(i + 1)) for i in range(len(ordered) + 1)]
+    got = sharding.shard_documents(df, shards=7, per=3).collect()
+    assert sorted((r["doc_id"] or 0, r["size"], r["text_crc32"]) for r in got) == sorted((k or 0, size(t), zlib.crc32((t or "").encode())) for k, t, *_ in rows)
+    load, slots, shard_of = {}, {}, {}
+    for r in got:
+        load[r["shard"]] = load.get(r["shard"], 0) + r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+        shard_of.setdefault(r["text_crc32"], set()).add(r["shard"])
+    assert max(load.values()) == best[-1] and set(load) <= set(range(7))
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(s) == 1 for s in shard_of.values())
+    by_cell = sorted((cell[t], min(shard_of[zlib.crc32((t or "").encode())])) for _, t, *_ in rows)
+    assert [s for _, s in by_cell] == sorted(s for _, s in by_cell)
+
+
+def test_merges_agree_with_the_tokenizer():
+    """Of all code points of three planes, odd white space, and long runs."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    encode = packing._encoder(tokenizer_path())
+    points = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{chr(c)}b {chr(c)}1 {chr(c)}{chr(c)}  {chr(c)} " for c in points[k : k + 400]) for k in range(0, len(points), 400)]
+    rng = random.Random(2)
+    odd = [*" \n\t\r\x0b\x0c\x1c\x85\xa0\u2028\u3000\u200baZé9½!…中🙂_\x00", "'s", "'", "'ll", "'RE", "e\u0301"]
+    texts += ["".join(rng.choices(odd, k=rng.randint(1, 40))) for _ in range(2000)] + [x * 60_000 for x in (" ", "x", "\n", " x", "1", "<|endoftext|>")] + [" \t" * 700_000 + "a"]
+    for text, ids in zip(texts, encode(texts), strict=True):
+        assert ids == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text[:60]
