@@ -38,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     have none, are told apart; rows without an id come last in a class.
     """
     docs = materialise(docs.select(*COLUMNS).withColumn("uid", F.monotonically_increasing_id()), "numbered")
-    found = minhash.near_duplicates(docs, id_col="uid", shingle=5, percent=80).select(F.col("doc_id").alias("uid"), "component_id")
+    found = minhash.near_duplicates(docs, id_col="uid", shingle=5, percent=80, age_col="doc_id").select(F.col("doc_id").alias("uid"), "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
     kept = docs.select("uid", "doc_id").join(found, "uid").groupBy("component_id").agg(F.min(order).alias("first")).select("first.uid")
     return docs.join(kept, "uid", "left_semi").select(*COLUMNS)

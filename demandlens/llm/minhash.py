@@ -88,14 +88,14 @@ def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.int64), bits.view(np.int64)
 
 
-SIGNED = "doc_id long, text_hash long, n_shingles long, low long, high long, keys array<long>, bits array<long>"
+SIGNED = "doc_id long, age long, text_hash long, n_shingles long, low long, high long, keys array<long>, bits array<long>"
 
 
 def _signed(shingle: int):
     def run(batches):
         for batch in batches:
             n, low, high, keys, bits = [], [], [], [], []
-            for text in batch.column(2):
+            for text in batch.column(3):
                 s = shingle_set(text.as_py(), shingle)
                 n.append(len(s))
                 if len(s):
@@ -109,7 +109,7 @@ def _signed(shingle: int):
                     low.append(None), high.append(None), keys.append(None), bits.append(None)
             t = pa.list_(pa.int64())
             made = [pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(keys, t), pa.array(bits, t)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], [c.split()[0] for c in SIGNED.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *made], [c.split()[0] for c in SIGNED.split(", ")])
 
     return run
 
@@ -208,7 +208,7 @@ def _apart(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return one.join(two, both & enough).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, age_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Links are pairs with 100 * |A & B| >= percent * |A | B|; component_id is
@@ -216,18 +216,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     link with nothing.  Every row counts for itself: rows that share an id but
     not the text may lie in different components, and rows alike in both come
     out alike.  Rows without an id come out with the smallest id reachable,
-    null (and kept) where there is none.  Other columns are not read.
+    null (and kept) where there is none.  Other columns are not read, but for
+    age_col: an integer, by default the id, by which the oldest text of a group
+    is told.  It changes no result; it makes hubs of texts that others copy.
     """
     least = least_estimate(percent)
     text = F.col(text_col)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(age_col or id_col).cast("long").alias("age"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     signed = materialise(docs.mapInArrow(_signed(shingle), SIGNED), "signatures")
     # A class is known by its set; its head is the row of it with the largest id, and that row's text.
     same = ["n_shingles", "low", "high"]
     head = F.max_by("text_hash", F.coalesce("doc_id", F.lit(-(2**63))))
-    classes = signed.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last"), head.alias("text_hash"))
-    # Ids rise with document ids, so hubs and roots are the oldest of a group, of which the others are likely copies.
-    classes = classes.orderBy(F.asc_nulls_last("doc"), "low", "high").withColumn("id", F.monotonically_increasing_id())
+    classes = signed.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("doc"), F.min("age").alias("age"), F.max("doc_id").alias("last"), head.alias("text_hash"))
+    # Ids rise with age, so hubs and roots are the oldest of a group, of which the others are likely copies.
+    classes = classes.orderBy(F.asc_nulls_last("age"), "low", "high").withColumn("id", F.monotonically_increasing_id())
     classes = materialise(classes, "classes")
     on = [*(signed[c] == classes[c] for c in [*same, "text_hash"]), signed["doc_id"].eqNullSafe(classes["last"])]
     heads = signed.join(classes, on).select("id", "keys", "bits").dropDuplicates(["id"])
