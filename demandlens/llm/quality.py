@@ -6,9 +6,8 @@ weight ln(p_trusted / p_raw).  A document's score is the mean weight of its
 n-grams (a last word pairs with the end), so length does not matter, and it is kept when the score is at least
 `threshold`, the same for every document.  Few trusted words know few good
 ones, so the threshold is lowered to what nearly all trusted documents reach
-when each is scored without its own words.  The corpus counts cover all
-documents; the trusted side takes at most `max_trusted` labelled ids (those
-with the smallest hashes), which bounds the broadcast.
+when each is scored without its own words.  The counts cover all documents, and
+the trusted side and the threshold all trusted ones.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, materialise, n_words
 
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = "[#*$%&|<>]"
@@ -74,16 +73,35 @@ def _bucket(h: Column, buckets: int) -> Column:
     return (F.pmod(h, F.lit(buckets)) + 1).cast("int")
 
 
-def trusted_ids(labels: DataFrame, max_trusted: int = 20_000) -> DataFrame:
-    """At most max_trusted ids whose labels all say quality 1 and not toxic; a uniform sample by hash."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The ids whose labels all say quality 1 and not toxic."""
     one = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
-    return one.filter("q = 1 and t = 0").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
+    return one.filter("q = 1 and t = 0").select("doc_id")
+
+
+#: Bits of the sieve of trusted ids (4 MB whatever their number), and those of a row of it.
+SIEVE, BLOCK = 1 << 25, 1 << 15
+
+
+def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text of every document with a trusted id.
+
+    Ids may be too many for a broadcast.  A bitmap of their hashes is not, and
+    leaves few other texts to the shuffle of the join, which decides.
+    """
+    ids = materialise(trusted_ids(labels), "trusted-ids")
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE))
+    place = [F.floor(at / BLOCK).alias("block"), F.pmod(at, F.lit(BLOCK)).alias("place")]
+    sieve = ids.select(*place).repartition("block").groupBy("block").agg(F.bitmap_construct_agg("place").alias("bits"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("*", *place).join(F.broadcast(sieve), "block")
+    rows = rows.filter("getbit(cast(conv(hex(substring(bits, cast(place div 8 as int) + 1, 1)), 16, 10) as int), cast(place % 8 as int)) = 1")
+    return materialise(rows.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text"), "trusted-texts")
 
 
 #: The prior of the trusted multinomial is worth this share of the trusted n-grams, so weights have one scale at every size.
 PRIOR = 1 / 16
-#: Trusted documents that are scored without their own words, and the share of them that may fall below the threshold.
-HELD, BELOW = 1000, 0.01
+#: Share of the trusted documents that may fall below the threshold when they are scored without their own words.
+BELOW = 0.01
 #: Words that a document must have; shorter ones fail the base rules and tell nothing of the score.
 LEAST = 50
 
@@ -103,11 +121,12 @@ def _weight(good: Column, raw: Column, g: Column, n: Column, prior: Column, buck
 
 
 def bucket_counts(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
-    """One row: raw and good, arrays of the n-grams of each bucket, and their sums n and g."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
-    rows = rows.join(F.broadcast(trusted.select(F.col("doc_id"), F.lit(1).alias("good"))), "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(0)))
-    counts = _grams(rows, buckets, "good").groupBy("b").agg(F.count("*").alias("raw"), F.sum("good").alias("good"))
-    full = docs.sparkSession.range(1, buckets + 1, 1, 1).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").select("b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("good", F.lit(0)).alias("good"))
+    """One row: raw and good, arrays of the n-grams of each bucket in docs and in trusted, and their sums n and g."""
+    full = docs.sparkSession.range(1, buckets + 1, 1, 1).select(F.col("id").cast("int").alias("b"))
+    for name, rows in (("raw", docs), ("good", trusted)):
+        counts = _grams(rows.select(words(F.col("text")).alias("w")), buckets).groupBy("b").agg(F.count("*").alias(name))
+        full = full.join(counts, "b", "left")
+    full = full.select("b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("good", F.lit(0)).alias("good"))
     table = full.agg(F.sort_array(F.collect_list(F.struct("b", "raw", "good"))).alias("t"), F.sum("raw").alias("n"), F.sum("good").alias("g"))
     return table.select(F.col("t")["raw"].alias("raw"), F.col("t")["good"].alias("good"), "n", "g")
 
@@ -122,20 +141,47 @@ def _prior(g: Column) -> Column:
     return F.greatest(g * PRIOR, F.lit(1.0))
 
 
-def held_out_level(docs: DataFrame, trusted: DataFrame, counts: DataFrame, sums: Row, buckets: int) -> float | None:
-    """The score that all but BELOW of HELD trusted documents reach without their own words; None without any."""
-    some = trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(HELD)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id", "left_semi")
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w")).withColumn("m", 2 * F.size("w"))
-    own = _grams(rows.filter(F.col("m") >= 2 * LEAST), buckets, "row", "m").groupBy("row", "m", "b").agg(F.count("*").alias("c"))
-    good, raw = (F.element_at(counts.select(c).scalar(), F.col("b")) for c in ("good", "raw"))
+def held_out_scores(trusted: DataFrame, counts: DataFrame, sums: Row, buckets: int) -> DataFrame:
+    """s: the score, in units of 1e-6, of each trusted document of LEAST words or more without its own words."""
+    rows = trusted.filter(n_words(F.col("text")) >= LEAST).select(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hw"))
+    grams = F.flatten(F.transform("hw", lambda h, i: F.array(_bucket(h, buckets), _bucket(F.xxhash64(h, F.get("hw", i + 1)), buckets))))
+    rows = rows.select(F.sort_array(grams).alias("b"))
+    rows = rows.withColumn("at", F.array_compact(F.transform("b", lambda x, k: F.when(~F.get("b", k - 1).eqNullSafe(x), k))))
+    runs = F.transform("at", lambda x, k: F.struct(F.get("b", x).alias("b"), (F.coalesce(F.get("at", k + 1), F.size("b")) - x).alias("c")))
+    rows = rows.select(runs.alias("runs"), F.size("b").alias("m"), *(counts.select(c).scalar().alias(c) for c in ("good", "raw")))
     g, n = F.lit(sums["g"]), F.lit(sums["n"])
-    term = F.col("c") * _weight(good - F.col("c"), raw, g - F.col("m"), n, _prior(g), buckets)
-    scores = own.groupBy("row", "m").agg((F.sum(term) / 1e4 / F.col("m")).alias("s"))
-    return scores.agg(F.round(F.percentile("s", BELOW), 6).alias("level")).first()["level"]
+    # As in quality_rules, the tables are subqueries' values, bound once by the outer function.
+    term = lambda t, r: r["c"] * _weight(F.element_at(t["good"], r["b"]) - r["c"], F.element_at(t["raw"], r["b"]), g - F.col("m"), n, _prior(g), buckets)
+    total = F.get(F.transform(F.array(F.struct("good", "raw")), lambda t: F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + term(t, r))), F.lit(0))
+    return rows.select(F.round(total * 100 / F.col("m")).cast("long").alias("s"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 15, threshold: float = -0.09, max_trusted: int = 20_000) -> DataFrame:
+def held_out_level(trusted: DataFrame, counts: DataFrame, sums: Row, buckets: int) -> float | None:
+    """The score that all but BELOW of the trusted documents reach without their own words; None without any.
+
+    The two ranks beside that share are found among counts of thousandths, then
+    of millionths in theirs, so no task sorts all scores.
+    """
+    scores = materialise(held_out_scores(trusted, counts, sums, buckets), "held-out")
+    thousandth = F.floor(F.col("s") / 1000)
+    tops = sorted(map(tuple, scores.groupBy(thousandth).count().collect()))
+    if not tops:
+        return None
+    at = (sum(c for _, c in tops) - 1) * BELOW
+    low, seen, start, among = int(at), 0, None, []
+    for top, c in tops:
+        if seen + c > low and seen <= low + 1:
+            start = seen if start is None else start
+            among.append(top)
+        seen += c
+    seen, near = start, []
+    for s, c in sorted(map(tuple, scores.filter(thousandth.isin(among)).groupBy("s").count().collect())):
+        near += [s] * len(range(max(seen, low), min(seen + c, low + 2)))
+        seen += c
+    return round((near[0] + (at - low) * (near[-1] - near[0])) / 1e6, 6)
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 15, threshold: float = -0.09) -> DataFrame:
     """docs with the base statistics, llr (mean weight of its n-grams, six decimals) and kept.
 
     Null texts have no words: llr 0, base_failed, not kept.  Labels may repeat
@@ -144,11 +190,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 15, th
     the id is.  Without trusted documents every score is 0 and the base rules
     decide.  Columns of docs that bear names given here are replaced.
     """
-    trusted = trusted_ids(labels, max_trusted)
+    trusted = trusted_texts(docs, labels)
     counts = materialise(weights(bucket_counts(docs, trusted, buckets), buckets), "counts")
     sums = counts.select("n", "g").first()
     if sums["g"]:
-        level = held_out_level(docs, trusted, counts, sums, buckets)
+        level = held_out_level(trusted, counts, sums, buckets)
         threshold = threshold if level is None else min(threshold, level)
     out = base_statistics(docs).withColumn("_table", counts.select("w").scalar())
     # The table is a subquery's value, bound once by the outer function; as a literal it would fill the plan's text.

@@ -368,3 +368,39 @@ def test_chat(spark):
     assert got[1]["loss_sha256"] == hashlib.sha256("".join(nasty[::2]).encode()).hexdigest() and got[1]["loss_chars"] == sum(map(len, nasty[::2]))
     assert got[2]["n_turns"] == 2 and got[None]["n_turns"] == 1
     assert chat.read_back(chat.format_turns(rows.limit(0))).count() == 0
+
+
+def test_quality_learns_from_all_trusted_documents(spark):
+    """Counts and threshold against brute force over more than 1000 trusted documents; a sample of them missed the odd ones."""
+    import math
+
+    rng = random.Random(3)
+    usual, odd = (["".join(rng.choices(x, k=3)) for _ in range(60)] for x in ("abcdef", "uvwxyz"))
+    texts = {k: " ".join(rng.choices(odd if k % 43 == 0 else usual, k=rng.randint(50, 60))) for k in range(2600)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 13 > 0 or k % 43 == 0), 0) for k in texts] + [(k, 1, 0) for k in range(5000, 30000)], "doc_id long, quality int, toxic int")
+    one = [k for k in texts if k % 13 or k % 43 == 0]
+    assert quality.trusted_ids(labels).count() == len(one) + 25000
+    trusted = quality.trusted_texts(docs, labels)
+    assert sorted(r["text"] for r in trusted.collect()) == sorted(texts[k] for k in one)
+    buckets = 1 << 10
+    counts = quality.bucket_counts(docs, trusted, buckets)
+    row = counts.first()
+    assert (row["n"], row["g"]) == tuple(sum(2 * len(texts[k].split()) for k in some) for some in (texts, one))
+    pairs = {(a, b) for t in texts.values() for a, b in zip(t.split(), [*t.split()[1:], None], strict=True)}
+    h = F.xxhash64("a")
+    hashed = spark.createDataFrame(list(pairs), "a string, b string").select("a", "b", h.alias("x"), F.xxhash64(h, F.when(F.col("b").isNotNull(), F.xxhash64("b"))).alias("y")).collect()
+    bucket = {(r["a"], r["b"]): (r["x"] % buckets, r["y"] % buckets) for r in hashed}
+    n, g = row["n"], row["g"]
+
+    def held(text):
+        w = text.split()
+        own = Counter(x for p in zip(w, [*w[1:], None], strict=True) for x in bucket[p])
+        m = 2 * len(w)
+        weight = lambda b, c: round(1e4 * math.log((row["good"][b] - c + g / 16 * (p := (row["raw"][b] + 1) / (n + buckets))) / (g - m + g / 16) / p))
+        return sum(c * weight(b, c) for b, c in own.items()) / 1e4 / m
+
+    scores = sorted(held(texts[k]) for k in one)
+    at = (len(scores) - 1) * quality.BELOW
+    want = scores[int(at)] + (at - int(at)) * (scores[int(at) + 1] - scores[int(at)])
+    assert quality.held_out_level(trusted, counts, row, buckets) == pytest.approx(want, abs=3e-6)
