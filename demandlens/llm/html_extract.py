@@ -1,12 +1,11 @@
 """Main text of web pages by union-free wrapper inference.
 
-A page is a stream of tags (with class and id) and texts.  From a few pages of
+A page is a stream of tags (with class and id) and texts.  From all pages of
 a host a wrapper is inferred: streams are aligned one after the other; texts
 that differ become slots, and tag mismatches are resolved into repeated groups
-(the segment before the mismatch recurs) or optional ones.  The samples are
+(the segment before the mismatch recurs) or optional ones.  The pages are
 matched against the wrapper: a text that all of them hold at a position is a
-constant of the template, other texts are slots.  Pages are matched against
-their host's wrapper.
+constant of the template, other texts are slots.
 
 What a wrapper says of a matched page: the content region is the smallest
 container that holds most of the slots' text outside links, with what lies
@@ -17,26 +16,34 @@ headers, footers, sidebars, notices, adverts, forms and comments are never in
 it.  Where no wrapper matches, the whole page is the region, or containers that
 are named like content.
 
-A wrapper comes from at most `SAMPLES` pages a host (the least hashes), so a
-host of any size costs one small group; all pages are extracted.
+Texts don't change how streams are aligned, so of pages with the same tags one
+shape is aligned, the most frequent first.  The shapes of a host are dealt out,
+and aligned again are only those that changed the wrapper of their part: few,
+however many pages a host has.  Constants are told from all different pages,
+counted where they lie and merged.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import html
+import itertools
 import json
 import re
+import zlib
 from collections import Counter
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLES = 6
-#: Longest run of tokens that may become a group, and pages' streams that are aligned.
-GROUP, STREAM = 400, 4000
-#: Different samples that must hold a text at a position before it counts as a constant.
+from .common import materialise
+
+#: Parts that a host's shapes are dealt to, and the longest run of tokens that may become a group.
+PARTS, GROUP = 16, 400
+#: Different pages that must hold a text at a position before it counts as a constant.
 LEAST = 3
 #: Percent of the slots' text that the content region holds.
 MOST = 60
@@ -290,6 +297,8 @@ def align(wrapper: list, stream: list) -> list | None:
             continue
         if a and (found := _square(out, wrapper, i)):
             group, size, i = found
+            while len(out) >= 2 * size and all(_same(x, y) for x, y in zip(out[-2 * size : -size], group, strict=True)):
+                del out[-size:]
             out[-size:] = [("+", group)]
             while (k := _take(group, wrapper, i)) > i:
                 i = k
@@ -316,13 +325,24 @@ def align(wrapper: list, stream: list) -> list | None:
     return out
 
 
+def grown(wrapper: list, shape: list) -> tuple[list, bool]:
+    """The wrapper, generalised to match the shape as well, and whether it didn't before; a shape that can't be aligned is left to itself."""
+    if not wrapper:
+        return shape, True
+    if _take(wrapper, shape, 0) == len(shape):
+        return wrapper, False
+    return align(wrapper, shape) or wrapper, True
+
+
+def fold(shapes: Iterable[list]) -> list:
+    """A wrapper of the shapes, in this order."""
+    return functools.reduce(lambda wrapper, s: grown(wrapper, s)[0], shapes, [])
+
+
 def infer(pages: list[str]) -> list:
-    """A wrapper of the pages (in this order); pages that can't be aligned are left to themselves."""
-    streams = [s for p in pages if len(s := tokens(p)) <= STREAM]
-    wrapper = streams[0] if streams else []
-    for s in streams[1:]:
-        wrapper = align(wrapper, s) or wrapper
-    return wrapper
+    """A wrapper of the pages, whose texts are all slots."""
+    shapes = Counter(s for p in dict.fromkeys(pages) if (s := skeleton(p)[0]))
+    return fold(_stream(s) for s in sorted(shapes, key=lambda s: (-shapes[s], s)))
 
 
 def _flat(nodes: list) -> list:
@@ -337,7 +357,56 @@ def _plain(text: str) -> str:
     return " ".join(text.split())
 
 
-def learned(nodes: list, pages: list[str]) -> tuple[list[list[str]], list[bool] | None]:
+def _key(text: str) -> str:
+    """What stands for a text among constants: itself if it is short, else its hash."""
+    return text if len(text) <= 32 else "\0" + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def skeleton(page: str) -> tuple[str, list]:
+    """The shape of a page (JSON of its stream without the texts; empty without tokens), and of each text its key, length, and whether it lies in the content region and in kept elements (None: white space)."""
+    stream = tokens(page)
+    _, flags, kept = classify(stream)
+    shape = json.dumps([["s"] if t[0] == "t" else t for t in stream], separators=(",", ":")) if stream else ""
+    texts = [(t[1], main, ok) for t, main, ok in zip(stream, flags, kept, strict=True) if t[0] == "t"]
+    return shape, [(_key(text), len(text), main, ok) if (text := _plain(raw)) else None for raw, main, ok in texts]
+
+
+def _stream(shape: str) -> list:
+    return _tuples(json.loads(shape))
+
+
+def _places(nodes: list, shape: list) -> list[int] | None:
+    """The nodes of _flat(nodes) that the texts of a shape match; None if it doesn't match."""
+    at: list = []
+    if _match(_marked(nodes, itertools.count()), shape, 0, at) != len(shape):
+        return None
+    return [k for k, token in zip(at, shape, strict=True) if token[0] == "s"]
+
+
+def _add(seen: dict, k: int, pages: int, texts: dict, differ: bool, total: int, main: bool) -> None:
+    """Add to what is known of node k: pages with a text there, texts that all hold and their lengths in kept elements, whether pages differ, the length of all texts in kept elements, whether some lie in the content region."""
+    if k not in seen:
+        seen[k] = [pages, texts, differ, total, main]
+        return
+    had = seen[k]
+    both = {t: had[1][t] + n for t, n in texts.items() if t in had[1]}
+    seen[k] = [had[0] + pages, both, had[2] or differ or had[1].keys() != texts.keys(), had[3] + total, had[4] or main]
+
+
+def _note(seen: dict, places: list[int], texts: list) -> None:
+    """Add a page, the texts of which match the nodes at places."""
+    here: dict[int, list] = {}
+    for k, t in zip(places, texts, strict=True):
+        if t:
+            here.setdefault(k, []).append(t)
+    for k, some in here.items():
+        held: Counter = Counter()
+        for key, n, _, ok in some:
+            held[key] += n if ok else 0
+        _add(seen, k, 1, dict(held), False, sum(held.values()), any(t[2] for t in some))
+
+
+def _told(nodes: list, matched: int, seen: dict) -> tuple[list[list[str]], list[bool] | None]:
     """Of each node of _flat(nodes), its constants and whether it lies in the content region (None: no region stands out).
 
     Constants are the texts that the different pages matched all hold there.
@@ -346,34 +415,25 @@ def learned(nodes: list, pages: list[str]) -> tuple[list[list[str]], list[bool]
     pages, the pages tell nothing.
     """
     flat = _flat(nodes)
-    marked = _marked(nodes, iter(range(len(flat))))
-    seen: list[list[set]] = [[] for _ in flat]
-    held: list[Counter] = [Counter() for _ in flat]
-    content: set[int] = set()
-    matched = 0
-    for page in dict.fromkeys(pages):
-        stream, at = tokens(page), []
-        if len(stream) > STREAM or _match(marked, stream, 0, at) != len(stream):
-            continue
-        matched += 1
-        here: dict[int, set] = {}
-        _, flags, kept = classify(stream)
-        for k, token, main, ok in zip(at, stream, flags, kept, strict=True):
-            if token[0] == "t" and (text := _plain(token[1])):
-                here.setdefault(k, set()).add(text)
-                if main:
-                    content.add(k)
-                if ok:
-                    held[k][text] += len(text)
-        for k, texts in here.items():
-            seen[k].append(texts)
-    if not any(a != b for k in content for a, b in zip(seen[k], seen[k][1:], strict=False)):
+    if not any(main and differ for _, _, differ, _, main in seen.values()):
         return [[] for _ in flat], None
-    same = [sorted(set.intersection(*s)) if len(s) >= LEAST and 2 * len(s) > matched else [] for s in seen]
-    mass = [sum(n for text, n in h.items() if text not in c) for h, c in zip(held, same, strict=True)]
+    each = [seen.get(k, (0, {}, False, 0, False)) for k in range(len(flat))]
+    same = [sorted(texts) if n >= LEAST and 2 * n > matched else [] for n, texts, *_ in each]
+    mass = [total - sum(texts[t] for t in c) for (_, texts, _, total, _), c in zip(each, same, strict=True)]
     return same, region(flat, mass) if matched >= LEAST else None
 
 
+def learned(nodes: list, pages: list[str]) -> tuple[list[list[str]], list[bool] | None]:
+    """Constants and region that the pages tell of the nodes."""
+    seen: dict = {}
+    matched = 0
+    for shape, texts in map(skeleton, dict.fromkeys(pages)):
+        if shape and (places := _places(nodes, _stream(shape))) is not None:
+            matched += 1
+            _note(seen, places, texts)
+    return _told(nodes, matched, seen)
+
+
 def region(flat: list, mass: list[int]) -> list[bool] | None:
     """Whether each node lies in the smallest container with MOST of the mass outside links, or beside it in no container of its own."""
     spans: list[list] = []  # tag, first node, node after the last, parent
@@ -416,12 +476,21 @@ def wrapper_of(pages: list[str]) -> str:
 
 
 @functools.lru_cache(256)
-def _compiled(wrapper: str) -> tuple[list, bool]:
+def _compiled(wrapper: str | bytes) -> tuple[list, bool]:
     """Nodes marked with their constants and whether they lie in the region, and whether there is one."""
-    nodes, texts, within = json.loads(wrapper)
+    nodes, texts, within = _loaded(wrapper)
     return _marked(_tuples(nodes), zip(map(frozenset, texts), within or [True] * len(texts), strict=True)), within is not None
 
 
+def _loaded(x: str | bytes):
+    """What JSON says, as it stands or deflated."""
+    return json.loads(zlib.decompress(x) if isinstance(x, bytes) else x)
+
+
+def _dumped(x) -> bytes:
+    return zlib.compress(json.dumps(x, separators=(",", ":")).encode())
+
+
 def _tuples(x):
     return [(n[0], _tuples(n[1])) if n[0] in "?+" else ("<", n[1], tuple(map(tuple, n[2]))) if n[0] == "<" else tuple(n) for n in x]
 
@@ -456,7 +525,7 @@ def _match(nodes: list, stream: list, j: int, out: list) -> int:
     return j
 
 
-def extract(page: str, wrapper: str | None = None) -> tuple[str, bool]:
+def extract(page: str, wrapper: str | bytes | None = None) -> tuple[str, bool]:
     """Main text of a page, and whether the wrapper matched it."""
     stream = tokens(page)
     marks: list[tuple[frozenset, bool]] = []
@@ -471,7 +540,7 @@ def extract(page: str, wrapper: str | None = None) -> tuple[str, bool]:
         if token[0] == "t":
             if main:
                 now.append(token[1])
-                slot = slot or not token[1].isspace() and (not texts or _plain(token[1]) not in texts)
+                slot = slot or not token[1].isspace() and (not texts or _key(_plain(token[1])) not in texts)
         elif token[1] in BLOCK:
             blocks.append(now if slot else [])
             now, slot = [], False
@@ -482,10 +551,84 @@ def extract(page: str, wrapper: str | None = None) -> tuple[str, bool]:
     return "\n".join(b for b in done if b), matched
 
 
-def _inferred(batches):
+def _rows(batches, size: int = 256):
+    for batch in batches:
+        for k in range(0, batch.num_rows, size):
+            yield from zip(*(c.to_pylist() for c in batch.slice(k, size).columns), strict=True)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema.names)
+
+
+def _skeletons(batches):
+    schema = pa.schema({"host": pa.string(), "page": pa.binary(), "shape": pa.string(), "texts": pa.binary()})
     for batch in batches:
-        made = [wrapper_of([p["html"] for p in sorted(pages, key=lambda p: (p["h"], p["html"]))]) for pages in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], ["host", "wrapper"])
+        for k in range(0, batch.num_rows, 256):
+            some = [(name, page, *skeleton(page)) for name, page in _rows([batch.slice(k, 256)])]
+            if made := [(name, hashlib.blake2b(page.encode(), digest_size=16).digest(), shape, _dumped(texts)) for name, page, shape, texts in some if shape]:
+                yield _batch(made, schema)
+
+
+def _folds(batches):
+    """Of each host and part, in order of these and of turn, the shapes that change the wrapper."""
+    schema = pa.schema({"host": pa.string(), "pages": pa.int64(), "shape": pa.string()})
+    for _, rows in itertools.groupby(_rows(batches), key=lambda r: r[:2]):
+        wrapper: list = []
+        for name, _, pages, shape in rows:
+            wrapper, new = grown(wrapper, _stream(shape))
+            if new:
+                yield _batch([(name, pages, shape)], schema)
+
+
+def _inferred(batches):
+    """The wrapper of each host, from its shapes in order of turn."""
+    schema = pa.schema({"host": pa.string(), "nodes": pa.binary()})
+    for name, rows in itertools.groupby(_rows(batches), key=lambda r: r[0]):
+        yield _batch([(name, _dumped(fold(_stream(r[2]) for r in rows)))], schema)
+
+
+@functools.lru_cache(256)
+def _nodes(nodes: bytes) -> list:
+    return _tuples(_loaded(nodes))
+
+
+@functools.lru_cache(512)
+def _placed(nodes: bytes, shape: str) -> list[int] | None:
+    return _places(_nodes(nodes), _stream(shape))
+
+
+def _noted(batches):
+    """What a task's pages say of their hosts' wrappers, given out whenever it has pages of 256 hosts."""
+    schema = pa.schema({"host": pa.string(), "nodes": pa.binary(), "matched": pa.int64(), "seen": pa.binary()})
+    notes: dict = {}
+
+    def out():
+        return _batch([(name, nodes, n, _dumped([[k, *v] for k, v in seen.items()])) for (name, nodes), (n, seen) in notes.items()], schema)
+
+    for name, shape, texts, nodes in _rows(batches):
+        if (places := _placed(nodes, shape)) is None:
+            continue
+        if (name, nodes) not in notes and len(notes) == 256:
+            yield out()
+            notes.clear()
+        note = notes.setdefault((name, nodes), [0, {}])
+        note[0] += 1
+        _note(note[1], places, _loaded(texts))
+    if notes:
+        yield out()
+
+
+def _concluded(batches):
+    schema = pa.schema({"host": pa.string(), "wrapper": pa.binary()})
+    for (name, nodes), rows in itertools.groupby(_rows(batches, 16), key=lambda r: r[:2]):
+        matched, seen = 0, {}
+        for _, _, n, some in rows:
+            matched += n
+            for one in _loaded(some):
+                _add(seen, *one)
+        tree = _tuples(_loaded(nodes))
+        yield _batch([(name, _dumped([tree, *_told(tree, matched, seen)]))], schema)
 
 
 def host(url):
@@ -494,15 +637,21 @@ def host(url):
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON) of every host with a page that has html.
+    """host, wrapper (deflated JSON) of every host with a page that has tokens and is matched.
 
-    The samples are the pages of least hash in each of SAMPLES hash classes,
-    found by partial aggregation.
+    Pages are read once, into a table of the different ones' shapes and keys of texts.
     """
-    h = F.xxhash64("page_id", "url")
-    rows = pages.filter("html is not null").select(host(F.col("url")).alias("host"), F.pmod(h, F.lit(SAMPLES)).alias("part"), h.alias("h"), "html")
-    picked = rows.groupBy("host", "part").agg(F.min_by(F.struct("h", "html"), F.struct("h", F.length("html"))).alias("p"))
-    return picked.groupBy("host").agg(F.collect_list("p").alias("pages")).mapInArrow(_inferred, "host string, wrapper string")
+    rows = pages.filter("html is not null").select(host(F.col("url")).alias("host"), "html")
+    bare = rows.mapInArrow(_skeletons, "host string, page binary, shape string, texts binary")
+    bare = materialise(bare.dropDuplicates(["host", "page"]).select("host", "shape", "texts"), "skeletons")
+    shapes = bare.groupBy("host", "shape").agg(F.count("*").alias("pages"))
+    turn = [F.desc("pages"), F.asc("shape")]
+    dealt = shapes.select("host", F.pmod(F.xxhash64("shape"), F.lit(PARTS)).alias("part"), "pages", "shape").repartition("host", "part").sortWithinPartitions("host", "part", *turn)
+    told = dealt.mapInArrow(_folds, "host string, pages long, shape string").repartition("host").sortWithinPartitions("host", *turn)
+    nodes = materialise(told.mapInArrow(_inferred, "host string, nodes binary"), "nodes")
+    notes = bare.join(nodes, "host").select("host", "shape", "texts", "nodes").mapInArrow(_noted, "host string, nodes binary, matched long, seen binary")
+    merged = notes.repartition("host").sortWithinPartitions("host").mapInArrow(_concluded, "host string, wrapper binary")
+    return materialise(merged, "wrappers")
 
 
 def _extracted(batches):

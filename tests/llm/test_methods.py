@@ -5,6 +5,7 @@ import hashlib
 import io
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -366,3 +367,33 @@ def test_merges_agree_with_the_tokenizer():
     texts += ["".join(rng.choices(odd, k=rng.randint(1, 40))) for _ in range(2000)] + [x * 60_000 for x in (" ", "x", "\n", " x", "1", "<|endoftext|>")] + [" \t" * 700_000 + "a"]
     for text, ids in zip(texts, encode(texts), strict=True):
         assert ids == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text[:60]
+
+
+def test_wrappers_learn_from_all_pages(spark):
+    """Shapes and texts that a few pages of a host have, and pages of any length, count; samples missed them."""
+    page = "<body><div><a>Home</a> <a>News</a></div><div>{}</div><div><p>Story {} of today says this.</p>{}</div>{}<div>All rights reserved here</div></body>"
+    parts = ["<h2>x{}</h2>", "<h6>y{}</h6>", "<table><tr><td>z{}</table>", "<dl><dt>u{}</dl>", "<h3>v{}</h3>", "<ol><li>w{}</ol>", "<pre>t{}</pre>", "<h4>s{}</h4>", "<h5>r{}</h5>"]
+    rows, want = [], {}
+    for k in range(300):
+        # Each ending is that of a few pages, and the line over the story differs on three.
+        line = f"Correction {k}" if k in (77, 155, 233) else "A line of this host"
+        more = parts[k // 5 % 9].format(k) if k % 5 == 0 else ""
+        ending = "<ul>" + f"<li>long <b>{k}</b></li>" * (1100 if k == 50 else 1 + k % 3) + "</ul>"
+        rows.append((k, f"http://h.example/{k}", page.format(line, k, more + ending, "")))
+        want[k] = more, ending
+    rows += [(1000 + k, "http://h.example/copy", rows[1][2]) for k in range(500)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got = {r["page_id"]: r for r in html_extract.extract_pages(df).collect()}
+    assert len(got) == 800 and [k for k, r in got.items() if not r["matched"]] == []
+    assert len(html_extract.tokens(rows[50][2])) > 4000
+    for k, (more, ending) in want.items():
+        lines = got[k]["text"].split("\n")
+        assert lines[-1 - ending.count("<li>") - bool(more) :][0] == f"Story {k} of today says this." and "Home News" not in lines and "All rights reserved here" not in lines
+        if more:
+            assert re.sub("<[^>]*>", "", more) in lines
+    assert all(got[1000 + k]["text"] == got[1]["text"] for k in range(500))
+    # What the tasks noted and merged is what one place learns from all pages; copies of a page count once.
+    nodes, texts, within = html_extract._loaded(html_extract.wrappers(df.select("page_id", "url", "html")).first()["wrapper"])
+    assert [texts, within] == list(html_extract.learned(html_extract._tuples(nodes), [r[2] for r in rows]))
+    constants = {t for some in texts for t in some}
+    assert {"Home", "News", "All rights reserved here"} <= constants and "A line of this host" not in constants
