@@ -149,17 +149,38 @@ def _screened(pairs: DataFrame, bits: DataFrame, least: float) -> DataFrame:
     return both.filter(close).select("a", "b")
 
 
+#: Edges that one task joins up, whatever the size of the table; more take turns of all tasks.
+FEW = 4096
+
+
+def _united(batches):
+    """(a, p): for every id on an edge the smallest id it reaches, of all edges in one task."""
+    above: dict[int, int] = {}
+    for batch in batches:
+        for ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            tops = []
+            for x in ends:
+                while (up := above.setdefault(x, x)) != x:
+                    above[x] = x = above[up]
+                tops.append(x)
+            above[max(tops)] = min(tops)
+    for x in sorted(above):  # what stands above x is less than x, and done
+        above[x] = above[above[x]]
+    yield pa.RecordBatch.from_arrays([pa.array(list(v), pa.int64()) for v in (above.keys(), above.values())], ["a", "p"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every id on an edge (a, b): the smallest id it reaches.
 
     Each turn hooks every root to its smallest neighbour, halves the paths
-    twice and contracts the edges; rows only shrink.  Keys are aggregated by
-    min, so a hub of any degree costs one row a task.
+    twice and contracts the edges; rows only shrink, and the last FEW edges are
+    joined up in one task.  Keys are aggregated by min, so a hub of any degree
+    costs one row a task.
     """
     ends = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = edges.select("a", "b").filter("a <> b").distinct()
+    edges = materialise(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b").distinct(), "edges")
     turns: list[DataFrame] = []
-    while True:
+    while edges.count() > FEW:
         up = ends(edges).groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p"))
         for _ in range(2):
             above = up.select(F.col("a").alias("p"), F.col("p").alias("q"))
@@ -169,8 +190,7 @@ def components(edges: DataFrame) -> DataFrame:
         one = edges.join(up, "a").select(F.col("p").alias("x"), "b")
         edges = one.join(up.withColumnRenamed("a", "b"), "b").select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b"))
         edges = materialise(edges.filter("a <> b").distinct(), "edges")
-        if edges.isEmpty():
-            break
+    turns.append(materialise(edges.coalesce(1).mapInArrow(_united, "a long, p long"), "parents"))
     roots = turns[0].select(F.col("a").alias("id"), F.col("p").alias("root"))
     for up in turns[1:]:
         roots = roots.join(up, F.col("root") == F.col("a"), "left").select("id", F.coalesce("p", "root").alias("root"))

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from demandlens import storage
 from demandlens.llm import chat, html_extract, langid, media, minhash, mixing, packing, quality, sharding, warc
 from demandlens.llm.common import running_totals, scratch
 from demandlens.llm.queries import tokenizer_path
@@ -404,3 +405,25 @@ def test_quality_learns_from_all_trusted_documents(spark):
     at = (len(scores) - 1) * quality.BELOW
     want = scores[int(at)] + (at - int(at)) * (scores[int(at) + 1] - scores[int(at)])
     assert quality.held_out_level(trusted, counts, row, buckets) == pytest.approx(want, abs=3e-6)
+
+
+def test_few_edges_are_united_in_one_task(spark, monkeypatch):
+    """Either way, and both in turn, against brute force; few edges took as many joins and exchanges as many before."""
+    rng = random.Random(8)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(500 + k, 501 + k) for k in range(60)]
+    rng.shuffle(edges)
+    want = {k: k for e in edges if e[0] != e[1] for k in e}
+    while any(want[a] != want[b] for a, b in edges if a != b):
+        for a, b in edges:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    turns = []
+    for few in (10**6, 40, 0):
+        monkeypatch.setattr(minhash, "FEW", few)
+        made = []
+        monkeypatch.setattr(minhash, "materialise", lambda d, name, f=storage.materialise: made.append(name) or f(d, name))
+        assert {r["id"]: r["root"] for r in minhash.components(df).collect()} == want
+        turns.append(made.count("parents"))
+    assert turns[0] == 1 < turns[1] < turns[2]
+    assert minhash.components(df.limit(0)).count() == 0
